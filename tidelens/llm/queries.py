@@ -7,12 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, chat, packing
-from tidelens.llm.common import table
+from tidelens.llm import bpe, chat, hosts, language, lines, nearest, packing, quality
+from tidelens.llm.common import crc32_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Labelled documents of either label that the line fields are fitted on.
+SAMPLE_EACH = 400
+#: Documents that score lower are predicted to have label 0.
+LEAST_QUALITY = 0.3
+
+
+def content_field(spark: SparkSession, documents: DataFrame, sf_dir: str) -> lines.Crf:
+    return quality.learn_content(*lines.labelled_sample(documents, table(spark, sf_dir, "labels"), SAMPLE_EACH))
+
+
+def quality_classifier(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.Classifier:
+    """Learned from labels of documents whose crc32 of the id, modulo 5, is not 0."""
+    labels = table(spark, sf_dir, "labels").filter(crc32_of_id() % 5 != 0)
+    return quality.learn(*lines.labelled_sample(documents, labels, SAMPLE_EACH))
+
+
+def op1_content_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.keep_content(documents, content_field(spark, documents, sf_dir))
+
+
+#: By host and path.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the quality label of its id."""
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return hosts.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = nearest.whole_parts(table(spark, sf_dir, "embeddings"))
+    return nearest.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.identify(documents, language.profiles(documents, crc32_of_id() % 3 != 1))
+    return found.select("doc_id", (crc32_of_id() % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = quality.score(documents, quality_classifier(spark, documents, sf_dir))
+    return found.select("doc_id", (crc32_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"))
+
+
 def op7_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,11 +85,65 @@ def op10_bitmap_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_content_lines": op1_content_lines,
+        "op3_host_reputation": op3_host_reputation,
+        "op5_kd_tree_top_k": op5_kd_tree_top_k,
+        "op6_hyperdimensional_language": op6_hyperdimensional_language,
+        "op8_line_field_quality": op8_line_field_quality,
         "op7_power_of_two_packing": op7_power_of_two_packing,
         "op9_prefix_target_chat": op9_prefix_target_chat,
         "op10_bitmap_queue_bpe": op10_bitmap_queue_bpe,
     }
 
 
+_RULE_CASES = " ".join(
+    f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '{path}') then '{{{rule}}}'"
+    for rule in sorted(URL_RULES, key=len, reverse=True)
+    for host, path in [(rule.split("/", 1)[0], "/" + rule.split("/", 1)[1])]
+)
+
+
+def _shrunk_level(own: str, children: str, mean: str) -> str:
+    """The strength of a level's prior, as a subquery over its children."""
+    return f"""(select case when w > 0 then 1 / least(0.99, greatest(0.001, (s - v) / w)) - 1 else 999.0 end from (select
+        sum(n * (bad / n - {mean}) * (bad / n - {mean})) as s, sum({mean} * (1 - {mean})) as v, sum({mean} * (1 - {mean}) * (n - 1)) as w
+        from {children} where n > 0) as {own})"""
+
+
+_OP3_SQL = f"""
+with base as (
+    select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+known as (select doc_id as page_id, max(1 - quality) as bad from labels where doc_id is not null and quality in (0, 1) group by doc_id),
+hosts as (
+    select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, array_to_string(string_split(host, '.')[-1:], '.') as suffix,
+        cast(count(bad) as double) as n, cast(coalesce(sum(bad), 0) as double) as bad
+    from base left join known using (page_id) group by host),
+domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by domain, suffix),
+tops as (select suffix, sum(n) as n, sum(bad) as bad, (select sum(bad) / nullif(sum(n), 0) from hosts) as up from domains group by suffix),
+top_means as (select suffix, (bad + m * up) / (n + m) as up from tops, (select {_shrunk_level("a", "tops", "up")} as m) as x),
+domains_up as (select domain, n, bad, up from domains join top_means using (suffix)),
+domain_means as (select domain, (bad + m * up) / (n + m) as up from domains_up, (select {_shrunk_level("b", "domains_up", "up")} as m) as x),
+hosts_up as (select host, n, bad, up from hosts join domain_means using (domain)),
+found as (
+    select host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + m + 1)) as bound
+    from (select host, n, m, (bad + m * up) / (n + m) as mean from hosts_up, (select {_shrunk_level("c", "hosts_up", "up")} as m) as x) as y),
+judged as (select page_id, host, path, case {_RULE_CASES.replace("{", "").replace("}", "")} end as rule, bound from base join found using (host))
+select page_id, host, path, rule, case rule {" ".join(f"when '{r}' then '{v}'" for r, v in URL_RULES.items())} else case when bound > 0.5 then 'block' else 'allow' end end as verdict
+from judged
+"""
+
+_OP5_SQL = """
+with whole as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+    from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) as r where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_host_reputation": _OP3_SQL, "op5_kd_tree_top_k": _OP5_SQL}
