@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, chat, hosts, language, lines, nearest, packing, quality
+from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, packing, private, quality
 from tidelens.llm.common import crc32_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,17 @@ def op1_content_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_content(documents, content_field(spark, documents, sf_dir))
 
 
+def op2_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+def op4_boosted_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = private.find(documents, private.learn(documents))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(private.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(private.listed(F.col("base")), 256).alias("base_sha256"), private.listed(F.col("spans")).alias("spans"))
+
+
 #: By host and path.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -86,7 +97,9 @@ def op10_bitmap_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_content_lines": op1_content_lines,
+        "op2_chosen_path_near_duplicates": op2_chosen_path_near_duplicates,
         "op3_host_reputation": op3_host_reputation,
+        "op4_boosted_private_spans": op4_boosted_private_spans,
         "op5_kd_tree_top_k": op5_kd_tree_top_k,
         "op6_hyperdimensional_language": op6_hyperdimensional_language,
         "op8_line_field_quality": op8_line_field_quality,
