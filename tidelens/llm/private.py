@@ -36,6 +36,14 @@ FEATURES = {"at": 1, "digits": 24, "groups": 6, "first": 6, "last": 6, "dots": 4
 _CONTEXT_CHARS = 32
 
 
+def _is(kind: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
+#: By kind, what a span is asked for.
+IS_KIND = {k: _is(i) for i, k in enumerate(KINDS)}
+
+
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -175,13 +183,30 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _disguised(kind: str, rows: np.ndarray, names: list[str]) -> list[np.ndarray]:
+    """Copies of a kind's feature vectors: an address spelled out, or with spaces; a phone number without its plus
+    sign, or without its country code too."""
+
+    def copy(**values: np.ndarray | int) -> np.ndarray:
+        out = rows.copy()
+        for name, value in values.items():
+            out[:, names.index(name)] = value
+        return out
+
+    of = lambda name: rows[:, names.index(name)]
+    if kind == "email":
+        return [copy(spelled=1, dots=np.maximum(of("dots") - 1, 0)), copy(spaced=1)]
+    if kind == "phone":
+        return [copy(plus=0), copy(plus=0, groups=np.maximum(of("groups") - 1, 1), digits=of("digits") - of("first"), first=3)]
+    return []
+
+
 def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[str, Trees]:
     """By kind, trees that tell the spans of that kind, and the threshold at which `precision` of what they choose is.
 
     Every candidate of every document counts: as a span of a kind if a base span of the kind overlaps it, else as
-    none. What made the base span certain is then hidden in a second copy of it (the plus sign of a phone, the dots of
-    a spelled address), so that the rest of its form and its context have to tell. Candidates come to the driver as
-    counts of equal feature vectors.
+    none. Spans of a kind are also shown as they would look when written in a way that the base does not know, so that
+    the rest of their form and context has to tell. Candidates come to the driver as counts of equal feature vectors.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     found = df.select(F.struct(*(c.alias(k) for k, c in base_spans(t).items())).alias("base"), wide_spans(t).alias("wide")).filter(F.size("wide") > 0)
@@ -199,12 +224,10 @@ def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[st
         is_kind = np.array([r[f"is_{kind}"] for r in counts], float)
         if not is_kind.any() or is_kind.all():
             continue
-        hidden = rows[is_kind > 0].copy()
-        hidden[:, names.index("plus")] = 0
-        hidden[:, names.index("luhn")] = np.where(kind == "card", hidden[:, names.index("luhn")], 0)
-        x = np.concatenate((rows, hidden))
-        y = np.concatenate((is_kind, np.ones(len(hidden))))
-        w = np.concatenate((n, n[is_kind > 0]))
+        copies = _disguised(kind, rows[is_kind > 0], names)
+        x = np.concatenate((rows, *copies))
+        y = np.concatenate((is_kind, *(np.ones(len(c)) for c in copies)))
+        w = np.concatenate((n, *(n[is_kind > 0] for _ in copies)))
         trees, score = boost(x, y, w, names)
         order = np.argsort(-score, kind="stable")
         right = np.cumsum((w * y)[order]) / np.cumsum(w[order])
@@ -218,8 +241,11 @@ def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[st
 def all_spans(text: Column, models: dict[str, Trees]) -> Column:
     """kind, start and end of all spans, by kind in the order of KINDS, then start. Chosen candidates that overlap a
     base span of any kind are left out, and so are those that overlap an earlier chosen one."""
-    span = lambda kind, s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    bases = F.concat(*(F.transform(c, lambda s, k=k: span(k, s)) for k, c in base_spans(text).items()))
+
+    def of(kind: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+
+    bases = F.concat(*(F.transform(c, of(k)) for k, c in base_spans(text).items()))
     if not models:
         return bases
 

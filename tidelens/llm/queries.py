@@ -41,7 +41,7 @@ def op2_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
 def op4_boosted_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = private.find(documents, private.learn(documents))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(private.KINDS)]
+    counts = [F.size(F.filter("base", of)).cast("long").alias(f"n_{k}") for k, of in private.IS_KIND.items()]
     return found.select("doc_id", *counts, F.sha2(private.listed(F.col("base")), 256).alias("base_sha256"), private.listed(F.col("spans")).alias("spans"))
 
 
