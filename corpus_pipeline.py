@@ -1,36 +1,72 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences: language, quality, near-duplicates, personal data, packing."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import packing
-from tidelens.llm.common import keep_checkpoints
+from tidelens.llm import language, neardup, packing, private, quality, queries
+from tidelens.llm.common import crc32_of_id, keep_checkpoints
+
+#: Documents whose best language has a smaller cosine are in none of the learned ones.
+LEAST_LANGUAGE = 0.1
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letter, or whose letters are those of no learned language. Where no language can
+    be learned, nothing is known against a document, and all stay."""
+    prototypes = language.profiles(docs, crc32_of_id() % 3 != 1)
+    if not prototypes:
+        return docs
+    found = language.identify(docs, prototypes, keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the line field's classifier gives label 0."""
+    found = quality.score(docs, queries.quality_classifier(spark, docs, sf_dir), keep=tuple(docs.columns))
+    return found.filter(F.col("score") >= queries.LEAST_QUALITY).select(*docs.columns)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document with the smallest id: five-word shingles, similarity 0.8. An
+    id that several rows have goes if none of them is kept."""
+    found = neardup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its personal data replaced; n_chars follows the text."""
+    return private.redact(docs, private.learn(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, cut into sequences."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language", known_language),
+    ("quality", good_quality),
+    ("near-duplicates", one_of_each),
+    ("private data", without_private_data),
+    ("packing", packed),
+]
 
 #: Learned models, near-duplicate components and token ids are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage on what the one before has written."""
-    import uuid
-
+    """Each stage on what the one before has written, in the checkpoint folder that the cluster shares."""
     keep_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

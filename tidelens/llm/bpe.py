@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidelens.llm.common import byte_rows, map_slices, text_rows
+from tidelens.llm.common import byte_rows, map_slices, text_rows, with_text
 
 #: The pattern that splits text before the merges of many public rank files.
 _KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -170,14 +170,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     repeated; columns other than text and those in keep are left out, whatever their names. An empty table gives an
     empty one.
     """
-    from pyspark.sql import functions as F
-
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", `{ids}` binary"
+    rows, at, kept = with_text(df, text, keep)
+    schema = f"{kept}, `{ids}` binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(path, pattern)
-        found = [b"" if x is None else e.encode(x) for x in text_rows(batch.column(len(keep)))]
+        found = [b"" if x is None else e.encode(x) for x in text_rows(batch.column(at))]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(found, pa.binary())], [*keep, ids])
 
     return map_slices(rows, run, schema)

@@ -59,6 +59,13 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def with_text(df: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, int, str]:
+    """The columns of keep, and the text unless it is among them; the text's place; the schema of keep."""
+    kept = df.select(*keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return (kept, keep.index(text), schema) if text in keep else (df.select(*keep, F.col(text).alias("__text")), len(keep), schema)
+
+
 def crc32_of_id(doc_id: str = "doc_id"):
     """crc32 of an id as text; an id that is null counts as 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import SLICE_ROWS, slices, text_rows
+from tidelens.llm.common import SLICE_ROWS, slices, text_rows, with_text
 
 #: The answer for texts without letters, and where nothing was learned.
 UNKNOWN = "und"
@@ -88,8 +88,8 @@ def trigrams(text: str) -> np.ndarray:
 def profiles(df: DataFrame, learn: Column, dimensions: int = 1024, seed: int = 1, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Language prototypes: the bundle of all trigrams of all rows that `learn` is true for and that have a language.
 
-    Every partition bundles its rows by language; the driver gets one vector for each partition and language, and adds
-    them in one order. What it holds does not depend on the number or length of documents.
+    Every partition bundles its rows by language, and the bundles are added up; they are whole numbers, so in any
+    order. The driver gets one vector for each language, whatever the number or length of documents.
     """
     rows = df.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text))
 
@@ -123,14 +123,14 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int =
     """
     names = list(prototypes)
     matrix = np.array([prototypes[x] for x in names]) if names else np.zeros((0, dimensions))
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", lang_pred string, score double"
+    rows, at, kept = with_text(df, text, keep)
+    schema = f"{kept}, lang_pred string, score double"
 
     def run(batches):
         s = space(dimensions, seed)
         for part in slices(batches):
             langs, scores = [], []
-            for x in text_rows(part.column(len(keep))):
+            for x in text_rows(part.column(at)):
                 found = trigrams(x) if x and names else ()
                 lang, score = UNKNOWN, 0.0
                 if len(found):

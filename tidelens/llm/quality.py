@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.llm import lines
-from tidelens.llm.common import byte_rows, map_slices
+from tidelens.llm.common import byte_rows, map_slices, with_text
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _NOT_COUNTED = _SPACES + bytes(range(0x80, 0xC0))  # of a character's UTF-8 bytes, all but the first
@@ -75,14 +75,14 @@ def keep_content(df: DataFrame, field: lines.Crf, least: float = 0.3, text: str
     A null text has no words, so it fails. Rows are judged one by one: repeated rows get the same answer, and only the
     columns of keep are returned beside the new ones. An empty table gives an empty one.
     """
-    rows = df.select(*keep, F.col(text).alias("__text"))
+    rows, at, kept = with_text(df, text, keep)
     names = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
+    schema = f"{kept}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for x in byte_rows(part.column(len(keep))):
+        for x in byte_rows(part.column(at)):
             found = base(x or b"")
             share = content_share(field, (x or b"").decode("utf-8", "replace"))
             out.append((*found, not found[-1] and share >= least, share))
@@ -139,11 +139,11 @@ def score(df: DataFrame, classifier: Classifier, text: str = "text", keep: tuple
     A null or blank text scores 0. Rows are scored one by one: repeated rows get the same score, and only the columns
     of keep are returned beside it. An empty table gives an empty one.
     """
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", score double"
+    rows, at, kept = with_text(df, text, keep)
+    schema = f"{kept}, score double"
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [classifier.score(None if x is None else x.decode("utf-8", "replace")) for x in byte_rows(part.column(len(keep)))]
+        found = [classifier.score(None if x is None else x.decode("utf-8", "replace")) for x in byte_rows(part.column(at))]
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, pa.float64())], [*keep, "score"])
 
     return map_slices(rows, run, schema)
