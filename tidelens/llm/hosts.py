@@ -21,13 +21,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _labels(host: Column, n: int, suffixes: tuple[str, ...]) -> Column:
+    """The last n labels of a host, one more if its suffix has two."""
+    last = F.substring_index(host, ".", -n)
+    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -n - 1)).otherwise(last) if suffixes else last
+
+
 def domain_of(host: Column, suffixes: tuple[str, ...] = ()) -> Column:
     """The registered domain: the suffix and the label before it. suffixes: those of two labels, such as co.uk."""
-    return F.substring_index(host, ".", F.when(F.substring_index(host, ".", -2).isin(*suffixes), -3).otherwise(-2) if suffixes else -2)
+    return _labels(host, 2, suffixes)
 
 
 def suffix_of(host: Column, suffixes: tuple[str, ...] = ()) -> Column:
-    return F.substring_index(host, ".", F.when(F.substring_index(host, ".", -2).isin(*suffixes), -2).otherwise(-1) if suffixes else -1)
+    return _labels(host, 1, suffixes)
 
 
 def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column, Column]:
@@ -43,7 +49,7 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> tuple[Column,
 
 def _strength(children: DataFrame, own: str, parent_mean: str) -> float:
     """How many outcomes a parent's mean is worth to a child: from how far the children's rates lie from it (method of
-    moments for the beta-binomial), between 0.01 and 999."""
+    moments for the beta-binomial), between 2 and 999."""
     gone = F.col(parent_mean) * (1 - F.col(parent_mean))
     r = children.filter(F.col(f"{own}_n") > 0).agg(
         F.sum(F.col(f"{own}_n") * (F.col(f"{own}_bad") / F.col(f"{own}_n") - F.col(parent_mean)) ** 2).alias("s"),
@@ -51,7 +57,7 @@ def _strength(children: DataFrame, own: str, parent_mean: str) -> float:
         F.sum(gone * (F.col(f"{own}_n") - 1)).alias("w"),
     ).first()
     rho = (r["s"] - r["v"]) / r["w"] if r["w"] else 0.001
-    return 1 / min(0.99, max(0.001, rho)) - 1
+    return 1 / min(1 / 3, max(0.001, rho)) - 1
 
 
 def _shrunk(own: str, parent_mean: str, strength: float) -> Column:

@@ -103,7 +103,7 @@ def _searched(k: int):
             vectors, asked = _matrix(points["v"], n), _matrix(queries["v"], m)
             largest = np.abs(vectors).max(initial=0) * np.abs(asked).max(initial=0) * vectors.shape[1]
             if largest >= _EXACT:  # whole numbers of any size, slowly
-                vectors, asked = (x.astype(np.int64).astype(object) for x in (vectors, asked))
+                vectors, asked = (np.frompyfunc(int, 1, 1)(x) for x in (vectors, asked))
             tree = Tree(points["vec_id"].to_numpy(), vectors)
             bounds = tree.bounds(asked)
             least = [-math.inf if x is None else x for x in queries["least"].to_pylist()]

@@ -118,7 +118,7 @@ _RULE_CASES = " ".join(
 
 def _shrunk_level(own: str, children: str, mean: str) -> str:
     """The strength of a level's prior, as a subquery over its children."""
-    return f"""(select case when w > 0 then 1 / least(0.99, greatest(0.001, (s - v) / w)) - 1 else 999.0 end from (select
+    return f"""(select case when w > 0 then 1 / least(1 / 3.0, greatest(0.001, (s - v) / w)) - 1 else 999.0 end from (select
         sum(n * (bad / n - {mean}) * (bad / n - {mean})) as s, sum({mean} * (1 - {mean})) as v, sum({mean} * (1 - {mean}) * (n - 1)) as w
         from {children} where n > 0) as {own})"""
 
