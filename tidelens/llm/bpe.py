@@ -22,7 +22,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[\n -~{_LETTERS}]*")
 _PLAIN_SPLIT = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ \n0-9{_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+").findall
 #: Entries of each of the cache's two generations.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
 class RankQueue:
