@@ -160,3 +160,13 @@ def lenient_double(text: Column) -> Column:
 def lenient_long(text: Column) -> Column:
     """Also of numbers written with decimals, cut towards zero."""
     return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is JSON."""
+    return F.try_parse_json(text).isNotNull()
+
+
+def url_component(name: Column) -> Column:
+    """A name percent-encoded as a part of a URL's path; a space becomes %20."""
+    return F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
