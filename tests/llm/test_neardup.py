@@ -85,3 +85,46 @@ def test_components(spark):
 def test_similarity_below_the_search(documents):
     with pytest.raises(ValueError):
         neardup.near_duplicates(documents, percent=50)
+
+
+def templated(rng, pages, pairs, shared=50, own=50):
+    """Pages of one template, of different words besides it, some with one near copy."""
+    template, rows = [f"t{i}" for i in range(shared)], []
+    for k in range(pages):
+        page = template + [f"p{k}w{i}" for i in range(own)]
+        rows.append(page)
+        if k < pairs:
+            rows.append(page[:-6] + [f"p{k}x{i}" for i in range(6)])
+    rows = [" ".join(x) for x in rows]
+    rng.shuffle(rows)
+    return rows
+
+
+def roots_of(spark, rows, **limits):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    profiles = neardup.map_slices(df, lambda part: neardup._profiles(part, 2), neardup._PROFILE)
+    sets = neardup.cut(profiles.withColumnRenamed("doc_id", "rep").select("rep", "tokens", "low", "high"))
+    roots = neardup.search(sets, lambda pairs, roots: neardup.linked(pairs, df, 2, 80, roots), **limits)
+    return {r.node: r.root for r in roots.collect()}
+
+
+@pytest.mark.parametrize("levels", [1, 4])
+def test_templated_source(spark, monkeypatch, levels):
+    """Nodes stay large at every level, and only documents of one page are similar enough."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rows = list(enumerate(templated(random.Random(5), 60, 20, shared=80, own=20)))
+    want = brute(rows, 2)
+    assert sum(want[d][1] != d for d in want) == 20
+    assert roots_of(spark, rows, most=3, levels=levels) == {d: c for d, (_, c) in want.items() if c != d}
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(6)
+    base, rows = [f"b{i}" for i in range(100)], []
+    for k in range(150):
+        copy = list(base)
+        for i in rng.sample(range(100), rng.choice([2, 4])):
+            copy[i] = f"c{k}w{i}"
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    assert roots_of(spark, rows) == {d: c for d, (_, c) in brute(rows, 2).items() if c != d}

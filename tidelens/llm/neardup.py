@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import byte_rows, cut, map_slices
+from tidelens.llm.common import byte_rows, keep_checkpoints, map_slices
 
 #: Minwise tokens of a document.
 TOKENS = 64
@@ -20,6 +22,16 @@ KEPT_WORDS = 200_000
 _MASK = 0x5555555555555555
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder as a table of their own. Unlike a checkpoint, it does not carry
+    on how the rows were partitioned, a description that every join of every level would make longer."""
+    spark = df.sparkSession
+    keep_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/neardup-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 @lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20260101)
@@ -116,47 +128,75 @@ def _chosen(node: Column, tokens: Column, extra_in_1000: int) -> Column:
     return F.when(both, F.array(child(1), child(2))).otherwise(F.array(child(1)))
 
 
-def _paths(sets: DataFrame, trees: int, depth: int, extra: int) -> DataFrame:
-    """Columns rep, low, high, tree, parent, node: every document at each of its nodes of a depth, in every tree."""
-    level = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t).alias("parent"), F.xxhash64(t).alias("node")))
-    for _ in range(depth):
-        level = F.array_distinct(F.flatten(F.transform(level, lambda s: F.transform(_chosen(s["node"], F.col("tokens"), extra), lambda c: F.struct(s["tree"].alias("tree"), s["node"].alias("parent"), c.alias("node"))))))
-    return sets.select("rep", "low", "high", F.explode(level).alias("at")).select("rep", "low", "high", "at.tree", "at.parent", "at.node")
+def _children(at: DataFrame, extra: int) -> DataFrame:
+    """Columns rep, low, high, tree, node: the children of every document at its nodes. at: the columns of sets, and at,
+    an array of tree and node."""
+    below = F.flatten(F.transform("at", lambda s: F.transform(_chosen(s["node"], F.col("tokens"), extra), lambda c: F.struct(s["tree"].alias("tree"), c.alias("node")))))
+    return at.select("rep", "low", "high", F.explode(F.array_distinct(below)).alias("at")).select("rep", "low", "high", "at.tree", "at.node")
+
+
+def _with_root(df: DataFrame, roots: DataFrame | None, column: str, root: str) -> DataFrame:
+    """Adds the root of a column's documents; where roots has none, it is the document itself."""
+    if roots is None:
+        return df.withColumn(root, F.col(column))
+    ups = roots.select(F.col("node").alias(column), F.col("root").alias("__up"))
+    return df.join(ups, column, "left").withColumn(root, F.coalesce("__up", column)).drop("__up")
+
 
+#: Documents of one block of a node that does not shrink.
+BLOCK = 1536
 
-def candidates(sets: DataFrame, trees: int = 12, most: int = 96, levels: int = 5, least_agreeing: int = 42, extra: int = 250) -> DataFrame:
-    """Pairs a < b of documents that meet at a small node of some tree, or at a large one with its pivot, and whose
-    sketches agree enough to be similar.
 
-    sets: rep, tokens, low, high, one row for each different set. In each of `trees` independent trees, documents
-    branch by minwise tokens that the node chooses, 1 + extra / 1000 of them on average: the inverse of the similarity
-    sought, so that a pair of that similarity is expected to stay together at one child. At a node of up to `most`
-    documents all of them are compared. A larger one compares each with its pivot, the first document in
-    an order that the tree has for itself, and branches again. A node that is still large at the last level has no
-    other comparison; its documents are also in the other trees, where they meet other pivots.
-    Each node and document thus make most / 2 rows at most.
+def search(sets: DataFrame, link: Callable[[DataFrame, DataFrame | None], DataFrame], trees: int = 12, most: int = 96, levels: int = 24, least_agreeing: int = 42, extra: int = 250, extra_below: int = 400) -> DataFrame:
+    """node and root, as components() gives them, of all sets.
+
+    sets: rep, tokens, low, high, one row for each different set; link(pairs, roots) gives the roots after the links
+    among candidate pairs a < b are added to roots. In each of `trees` trees, documents branch by minwise tokens
+    that the node chooses, 1 + extra / 1000 of them on average at the root, which is the inverse of the similarity sought, and
+    1 + extra_below / 1000 below it, so that a pair of that similarity is not lost with growing depth.
+
+    At a node, documents outside its largest component, the others, are what can still be linked. Up to `most` of
+    them, a quarter more with every level, are compared with all documents of the node that are in another component. At a node with more, each document
+    is compared with the node's pivot, the first in an order that the tree has for itself; the links are joined to the
+    components, and if there still are more, the documents branch again, as deep as the data asks for. Copies of one text
+    become one component, others part as they branch. Nodes that do neither in `levels` levels are compared in full, in blocks.
     """
-    pairs = large = None
+    root = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t).alias("node")))
+    at, roots = sets.withColumn("at", root), None
+    heads = sets.select(F.col("rep").alias("pivot"), F.struct("low", "high").alias("p"))
     for depth in range(1, levels + 1):
-        rows = _paths(sets, trees, depth, extra)
-        if large is not None:
-            rows = rows.join(large.withColumnRenamed("node", "parent"), "parent", "left_semi")
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "tree")).alias("pivot")).filter("n > 1")
-        rows = rows.select("node", "rep", "low", "high")
-        heads = sets.select(F.col("rep").alias("pivot"), F.struct("low", "high").alias("p"))
-        nodes = cut(nodes.join(heads, "pivot"))
-        exhaustive = (F.col("n") > 2) & (F.col("n") <= most)
-        near = (F.col("b.rep") != F.col("pivot")) & (_agree("p", "b") >= least_agreeing)
-        met = cut(rows.alias("b").join(nodes, "node").filter(exhaustive | near).select("node", "b.rep", "b.low", "b.high", "pivot", exhaustive.alias("exhaustive")))
+        limit = int(most * 1.25 ** (depth - 1))
+        rows = _children(at, extra if depth == 1 else extra_below)
+        if depth > 1:
+            rows = cut(_with_root(rows, roots, "rep", "root"))
+            sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "tree").alias("o"), "rep")).alias("first"))
+            nodes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("root", F.struct("n", "root")).alias("top"), F.min("first")["rep"].alias("pivot"))
+        else:
+            rows = rows.withColumn("root", F.col("rep"))
+            nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "tree")).alias("pivot")).select("node", "n", F.lit(1).cast("long").alias("top_n"), F.col("pivot").alias("top"), "pivot")
+        nodes = cut(_with_root(nodes.filter("n > top_n").join(heads, "pivot"), roots, "pivot", "pivot_root").withColumn("others", F.col("n") - F.col("top_n")))
+        exhaustive = (F.col("n") > 2) & ((F.col("others") <= limit) | F.lit(depth == levels))
+        near = (F.col("b.root") != F.col("pivot_root")) & (_agree("p", "b") >= least_agreeing)
+        blocks = F.ceil(F.col("others") / BLOCK).cast("int")
+        met = cut(rows.alias("b").join(nodes, "node").filter(exhaustive | near).select("node", "b.rep", "b.low", "b.high", "b.root", "pivot", "top", blocks.alias("blocks"), exhaustive.alias("exhaustive")))
         leaves = met.filter("exhaustive")
-        together = (F.col("a.node") == F.col("b.node")) & (F.col("a.rep") < F.col("b.rep")) & (_agree("a", "b") >= least_agreeing)
-        compared = leaves.alias("a").join(leaves.alias("b"), together).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        found = cut(compared.unionByName(met.filter("not exhaustive").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))).distinct())
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = nodes.filter(F.col("n") > most).select("node")
-        if large.isEmpty():
+        others = leaves.filter("root <> top").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        all_ = leaves.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        here = (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block"))
+        apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep")))
+        compared = others.alias("a").join(all_.alias("b"), here & apart & (_agree("a", "b") >= least_agreeing)).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
+        pivots = met.filter("not exhaustive").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+        roots = link(cut(compared.unionByName(pivots).distinct()), roots)
+        large = nodes.filter((F.col("n") > 2) & (F.col("others") > limit)).select("node")
+        if depth == levels or large.isEmpty():
             break
-    return cut(pairs.distinct())
+        left = cut(_with_root(rows.drop("root").join(large, "node", "left_semi"), roots, "rep", "root").select("rep", "tree", "node", "root"))
+        sizes = left.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"))
+        at = cut(left.join(sizes.filter("n > top_n").select("node"), "node", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("at")))
+        if at.isEmpty():
+            break
+        at = sets.join(at, "rep")
+    return roots
 
 
 def _among(df: DataFrame, ids: DataFrame, doc_id: str, cells: int = 1 << 18) -> DataFrame:
@@ -200,23 +240,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_slices(pairs.join(one, "b").join(other, "a").select(*names, "x", "y"), check, ", ".join(f"{c} long" for c in names))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node and root, as components() gives them, of the links among the candidate pairs.
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots after links (a < b, both roots) are added."""
+    more = components(cut(links.distinct()))
+    if roots is None:
+        return cut(more)
+    ups = more.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return cut(roots.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(more))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, roots: DataFrame | None = None) -> DataFrame:
+    """node and root, as components() gives them, after the links among the candidate pairs are added to roots.
 
     First one pair of each document is held against the full sets. Of the other pairs only those matter that would join
-    two of the components so found, so only their sets are brought together: the work follows the number of
+    two of the components so found, so only these are confirmed: the work follows the number of
     documents, not the number of pairs in a large group.
     """
-    first = cut(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent).distinct())
-    roots = cut(components(first))
-    ends = pairs
-    for end in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_up")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_up", end)).drop(f"{end}_up")
-    open_ = cut(ends.filter("a_root <> b_root").select("a", "b", "a_root", "b_root"))
-    joined = confirmed(open_, sets, percent).select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-    more = components(cut(joined.distinct()))
-    ups = more.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return cut(roots.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(more))
+
+    def between(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        return cut(_with_root(_with_root(pairs, roots, "a", "a_root"), roots, "b", "b_root").filter("a_root <> b_root").select("a", "b", "a_root", "b_root"))
+
+    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return confirmed(pairs, sets, percent).select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+
+    open_ = between(pairs, roots)
+    if roots is not None and open_.isEmpty():
+        return roots
+    sets = full_sets(open_, texts, words)
+    first = open_.groupBy("b").agg(F.min_by(F.struct("a", "a_root", "b_root"), "a").alias("x")).select("x.a", "b", "x.a_root", "x.b_root")
+    roots = _joined(roots, links(first, sets))
+    open_ = between(open_.select("a", "b"), roots)
+    return roots if open_.isEmpty() else _joined(roots, links(open_, sets))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,10 +303,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, trees: int
     similarity of percent / 100 or more between their shingle sets, named by their smallest id; kept is true for that.
 
     Documents with equal sets are first brought down to the one with the smallest id. Links between different sets are
-    searched by candidates() and confirmed on full sets. The search is aimed at similarities of 0.8 or more. A pair
-    of 0.8 shares a node of one tree with a chance of 0.84 at the first level and 0.58 at the fourth, so 12 trees miss
-    about 3 in 100,000 such pairs, and fewer of more similar ones. In a group of hundreds of near copies whose nodes stay
-    large, documents are linked by the pivots they are similar to; one that is similar to few others may be missed.
+    searched by search() and confirmed on full sets. The search is aimed at similarities of 0.8 or more; it is by
+    chance, so single pairs near 0.8 can be missed, but no document is left out for the size of its group or source.
 
     A null or empty text, or one of white space, has no shingles and is linked with nothing: its component is itself.
     A row with a null id takes no part: its component_id is null, and it is kept. Rows that repeat an id are judged
@@ -264,8 +316,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, trees: int
     profiles = cut(map_slices(rows, lambda part: _profiles(part, words), _PROFILE))
     known = profiles.filter("doc_id is not null and print is not null")
     sets = cut(known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("low").alias("low"), F.first("high").alias("high")))
-    pairs = candidates(sets.drop("print"), trees)
-    roots = linked(pairs, full_sets(pairs, rows, words), percent)
+    roots = search(sets.drop("print"), lambda pairs, roots: linked(pairs, rows, words, percent, roots), trees)
     classes = cut(sets.select("print", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("print", F.coalesce("root", "rep").alias("component_id")))
     found = profiles.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
