@@ -110,3 +110,19 @@ def test_boosting_separates():
         return t if not isinstance(t, tuple) else walk(t[2] if r["abc".index(t[0])] <= t[1] else t[3], r)
 
     assert np.allclose([sum(walk(t, r) for t in trees) for r in rows], score)
+
+
+def test_disguised_as_common_as_plain(spark):
+    rng = np.random.default_rng(3)
+    rows, planted, harmless = [], [], []
+    for i in range(300):
+        a, b, c = rng.integers(100, 1000, 3)
+        planted.append(f"name{a} [at] site{b} [dot] org")
+        harmless.append(f"2021-{1 + i % 12:02d}-{1 + i % 28:02d}")
+        rows.append(f"contact name{b}@site{c}.org today. phone +1 ({a}) 555-{1000 + i}. build {a}.{b}.{c}1 of {harmless[-1]}, total {a}{b}{c}")
+        rows.append(f"contact {planted[-1]} today. phone ({a}) 555-{1000 + i}. meet @ noon")
+        planted.append(f"({a}) 555-{1000 + i}")
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    chosen = [text[a:b] for text, spans in found(df, private.learn(df), "spans") for _, a, b in spans]
+    assert sum(x in set(chosen) for x in planted) >= 0.95 * len(planted)
+    assert not set(chosen) & set(harmless) and not any("noon" in x for x in chosen)

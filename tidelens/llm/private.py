@@ -31,8 +31,14 @@ _CONTEXT = {
     "card": "(?i)(?:card|visa|master|amex|payment|credit|debit)[^\n]*$",
     "phone": r"(?i)(?:phone|\btel\b|\bcall\b|\bfax\b|mobile|\bcell\b|whatsapp)[^\n]*$",
 }
+#: An address with a domain: a dot of any writing, and letters, after the at.
+_DOMAIN = r"(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:\.| \. | ?[\[(]dot[\])] ?)[A-Za-z0-9-]*[A-Za-z]"
+#: Numbers that are no personal data: dates, and bare, decimal and version numbers.
+_DATE = r"^(?:(?:19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]|[0-3]?[0-9][-./ ][0-3]?[0-9][-./ ](?:19|20)[0-9]{2})(?: [0-9]{1,2})?$"
+_VERSION = r"^[0-9]+(?:\.[0-9]+)*$"
+_DOTTED_PHONE = r"^(?:[0-9]{1,3}\.)?[0-9]{3}\.[0-9]{3}\.[0-9]{4}$"
 #: Of each feature the largest value; larger ones count as it.
-FEATURES = {"at": 1, "digits": 24, "groups": 6, "first": 6, "last": 6, "dots": 4, "dashes": 3, "brackets": 1, "plus": 1, "luhn": 1, "bytes": 1, "spelled": 1, "spaced": 1, "said_email": 1, "said_ip": 1, "said_card": 1, "said_phone": 1}
+FEATURES = {"at": 1, "domain": 1, "digits": 24, "groups": 6, "first": 6, "last": 6, "dots": 4, "dashes": 3, "brackets": 1, "plus": 1, "luhn": 1, "bytes": 1, "spelled": 1, "spaced": 1, "said_email": 1, "said_ip": 1, "said_card": 1, "said_phone": 1}
 _CONTEXT_CHARS = 32
 
 
@@ -113,6 +119,7 @@ def _feature_values(s: Column) -> dict[str, Column]:
     at = m.rlike(r"@|\[at\]|\(at\)")
     values = {
         "at": flag(at),
+        "domain": flag(m.rlike(_DOMAIN)),
         "digits": F.length(digits),
         "groups": F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), 0)),
         "first": F.length(F.regexp_extract(m, "[0-9]+", 0)),
@@ -179,12 +186,20 @@ def boost(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, names: list[s
     return tuple(trees), score
 
 
+def _harmless(s: Column, x: dict[str, Column]) -> Column:
+    """Whether a candidate is known to be no personal data: an at without a domain; a date; a bare, decimal or version
+    number that is no address, card or phone number by its form and of which the text before it does not speak."""
+    said = sum((x[f"said_{k}"] for k in KINDS), F.lit(0)) > 0
+    version = s["m"].rlike(_VERSION) & ~s["m"].rlike(_DOTTED_PHONE) & (x["bytes"] == 0) & (x["luhn"] == 0)
+    return F.when(x["at"] == 1, x["domain"] == 0).otherwise(~said & (s["m"].rlike(_DATE) | version))
+
+
 def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
 def _disguised(kind: str, rows: np.ndarray, names: list[str]) -> list[np.ndarray]:
-    """Copies of a kind's feature vectors: an address spelled out, or with spaces; a phone number without its plus
+    """Copies of a kind's feature vectors: an address spelled out, or with spaces; a card with dots; a phone number without its plus
     sign, or without its country code too."""
 
     def copy(**values: np.ndarray | int) -> np.ndarray:
@@ -196,6 +211,8 @@ def _disguised(kind: str, rows: np.ndarray, names: list[str]) -> list[np.ndarray
     of = lambda name: rows[:, names.index(name)]
     if kind == "email":
         return [copy(spelled=1, dots=np.maximum(of("dots") - 1, 0)), copy(spaced=1)]
+    if kind == "card":
+        return [copy(dots=3, dashes=0, groups=4, first=4, last=4)]
     if kind == "phone":
         return [copy(plus=0), copy(plus=0, groups=np.maximum(of("groups") - 1, 1), digits=of("digits") - of("first"), first=3)]
     return []
@@ -204,21 +221,27 @@ def _disguised(kind: str, rows: np.ndarray, names: list[str]) -> list[np.ndarray
 def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[str, Trees]:
     """By kind, trees that tell the spans of that kind, and the threshold at which `precision` of what they choose is.
 
-    Every candidate of every document counts: as a span of a kind if a base span of the kind overlaps it, else as
-    none. Spans of a kind are also shown as they would look when written in a way that the base does not know, so that
-    the rest of their form and context has to tell. Candidates come to the driver as counts of equal feature vectors.
+    Spans of a kind are what a base span of the kind overlaps. They are also shown as they would look when written in a
+    way that the base does not know, so that the rest of their form and context has to tell. Candidates that are known
+    to be harmless, or are base spans of another kind, are none. Any other candidate may be either: it takes no part,
+    so the number of such candidates does not bound what is chosen. The threshold is that of a fifth of the documents
+    that the trees are not fitted on. Candidates come to the driver as counts of equal feature vectors.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = df.select(F.struct(*(c.alias(k) for k, c in base_spans(t).items())).alias("base"), wide_spans(t).alias("wide")).filter(F.size("wide") > 0)
-    each = found.select("base", F.explode("wide").alias("s"))
+    held_out = F.pmod(F.xxhash64(t), F.lit(5)) == 0
+    found = df.select(held_out.cast("int").alias("held"), F.struct(*(c.alias(k) for k, c in base_spans(t).items())).alias("base"), wide_spans(t).alias("wide")).filter(F.size("wide") > 0)
+    names, is_ = list(FEATURES), [f"is_{k}" for k in KINDS]
     kinds = [F.exists(F.col(f"base.{k}"), lambda b: _overlaps(b, F.col("s"))).cast("int").alias(f"is_{k}") for k in KINDS]
-    names = list(FEATURES)
-    counts = each.select(*(c.alias(k) for k, c in _feature_values(F.col("s")).items()), *kinds).groupBy(*names, *(f"is_{k}" for k in KINDS)).agg(F.count("*").alias("n")).collect()
+    each = found.select("held", "base", F.explode("wide").alias("s")).select("held", "s", *(c.alias(k) for k, c in _feature_values(F.col("s")).items()), *kinds)
+    each = each.withColumn("harmless", _harmless(F.col("s"), {k: F.col(k) for k in names}).cast("int"))
+    known = each.filter(F.greatest("harmless", *is_) > 0)
+    counts = known.groupBy("held", *names, *is_).agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
     counts.sort(key=lambda r: tuple(r))
     rows = np.array([[r[x] for x in names] for r in counts], np.int64)
     n = np.array([r["n"] for r in counts], float)
+    held = np.array([r["held"] for r in counts]) > 0
     out = {}
     for kind in KINDS:
         is_kind = np.array([r[f"is_{kind}"] for r in counts], float)
@@ -228,7 +251,12 @@ def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[st
         x = np.concatenate((rows, *copies))
         y = np.concatenate((is_kind, *(np.ones(len(c)) for c in copies)))
         w = np.concatenate((n, *(n[is_kind > 0] for _ in copies)))
-        trees, score = boost(x, y, w, names)
+        test = np.concatenate((held, *(held[is_kind > 0] for _ in copies)))
+        fit = ~test
+        if min(y[fit].sum(), (1 - y[fit]).sum(), y[test].sum()) == 0:  # too few documents to hold any out
+            fit = test = np.ones(len(y), bool)
+        trees, _ = boost(x[fit], y[fit], w[fit], names)
+        score, y, w = np.array([_walked(trees, r, names) for r in x[test]]), y[test], w[test]
         order = np.argsort(-score, kind="stable")
         right = np.cumsum((w * y)[order]) / np.cumsum(w[order])
         last = np.append(score[order][1:] < score[order][:-1], True)  # thresholds lie between different scores
@@ -238,6 +266,16 @@ def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[st
     return out
 
 
+def _walked(trees: tuple, row: np.ndarray, names: list[str]) -> float:
+    """The score of one row, added up in the order of Trees.score."""
+    total = 0.0
+    for t in trees:
+        while isinstance(t, tuple):
+            t = t[2] if row[names.index(t[0])] <= t[1] else t[3]
+        total += float(t)
+    return total
+
+
 def all_spans(text: Column, models: dict[str, Trees]) -> Column:
     """kind, start and end of all spans, by kind in the order of KINDS, then start. Chosen candidates that overlap a
     base span of any kind are left out, and so are those that overlap an earlier chosen one."""
