@@ -3,13 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in spark.checkpoint.dir; only where none is named, a temporary one."""
+    """The checkpoint folder that the cluster names in spark.checkpoint.dir. Where none is named, as in tests, a
+    temporary one, which only a master on this machine alone can do with."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared-"))
     return context.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark knows; one that is not there is as good as deleted."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+class Scratch:
+    """Tables of a computation in a folder of their own below the shared one: a step's rows are written once and read
+    from there, so that a lost executor costs no rerun and no plan grows with the number of steps."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self._tables = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._tables[id(table)] = [table, path, None]
+        return table
+
+    def rows(self, table: DataFrame) -> int:
+        """How many rows a kept table has; the files' footers tell."""
+        kept = self._tables[id(table)]
+        if kept[2] is None:
+            kept[2] = table.count()
+        return kept[2]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete(self.spark, self._tables.pop(id(table))[1])
+
+    def clear(self) -> None:
+        self._tables.clear()
+        delete(self.spark, self.folder)
