@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tidelens.llm import neardup, queries
+from tidelens.sources.folders import Scratch
 
 
 def naive_sets(text, words):
@@ -72,13 +74,13 @@ def test_edges(edges, nothing):
 
 
 def test_components(spark):
-    rng = random.Random(3)
+    scratch, rng = Scratch(spark, "test"), random.Random(3)
     edges = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(90)} | {(k, k + 1) for k in range(200, 260)})
     up = list(range(300))
     for _ in range(300):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
-    found = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    found = {r.node: r.root for r in neardup.components(scratch.keep(spark.createDataFrame(edges, "a long, b long")), scratch).collect()}
     assert found == {k: x for k, x in enumerate(up) if x != k}
 
 
@@ -87,6 +89,45 @@ def test_similarity_below_the_search(documents):
         neardup.near_duplicates(documents, percent=50)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 40, 300, 5000])
+def test_minwise_tells_similarity(n):
+    rng = np.random.default_rng(n)
+    agree = []
+    for _ in range(40):
+        x = rng.integers(0, 2**63, n + n // 4, np.uint64)
+        a, b = np.unique(x[:n]), np.unique(x[n // 8 :])
+        agree.append(np.mean(neardup.minwise(a) == neardup.minwise(b)) - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
+    assert abs(np.mean(agree)) < 0.02 and len(set(neardup.minwise(np.arange(1, 2, dtype=np.uint64)).tolist())) == neardup.TOKENS
+
+
+def test_recall_near_the_bar(spark):
+    """2,000 pairs of similarity 0.8 to 0.85 among documents of one vocabulary: 0.99 are found, and nothing is made up."""
+    rng, rows = random.Random(8), []
+    for k in range(2000):
+        base = [f"v{rng.randrange(30000)}" for _ in range(120)]
+        copy = list(base)
+        for i in rng.sample(range(60), 6):
+            copy[2 * i] = f"u{rng.randrange(30000)}"
+        rows += [" ".join(base), " ".join(copy)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    by = {}
+    for d, t in rows:
+        for x in naive_sets(t, 2):
+            by.setdefault(x, []).append(d)
+    sets, links = {d: naive_sets(t, 2) for d, t in rows}, 0
+    found = roots_of(spark, rows, most=8)
+    for d, s in sets.items():
+        near = {e for x in s for e in by[x] if e < d}
+        for e in near:
+            n = len(s & sets[e])
+            if 100 * n >= 80 * (len(s) + len(sets[e]) - n):
+                links += 1
+                by[d, "found"] = found.get(d) == found.get(e, e)
+    hit = sum(v for k, v in by.items() if isinstance(k, tuple) and k[1] == "found")
+    assert links >= 1500 and hit >= 0.99 * links and len(found) == hit
+
+
 def templated(rng, pages, pairs, shared=50, own=50):
     """Pages of one template, of different words besides it, some with one near copy."""
     template, rows = [f"t{i}" for i in range(shared)], []
@@ -102,10 +143,11 @@ def templated(rng, pages, pairs, shared=50, own=50):
 
 def roots_of(spark, rows, **limits):
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = Scratch(spark, "test")
     profiles = neardup.map_slices(df, lambda part: neardup._profiles(part, 2), neardup._PROFILE)
-    sets = neardup.cut(profiles.withColumnRenamed("doc_id", "rep").select("rep", "tokens", "low", "high"))
-    roots = neardup.search(sets, lambda pairs, roots: neardup.linked(pairs, df, 2, 80, roots), **limits)
-    return {r.node: r.root for r in roots.collect()}
+    sets = scratch.keep(profiles.selectExpr("doc_id as rep", "cast(n_shingles as int) as size", "tokens", "s0", "s1", "s2", "s3"))
+    roots = neardup.search(sets, lambda ids: neardup.full_sets(ids, df, 2), scratch, **limits)
+    return {} if roots is None else {r.node: r.root for r in roots.collect()}
 
 
 @pytest.mark.parametrize("levels", [1, 4])

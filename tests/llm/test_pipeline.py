@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -42,14 +43,24 @@ def test_stages(spark, documents, tmp_path):
 
 
 def test_stages_take_edges(spark, edges, nothing, tmp_path):
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = spark.createDataFrame([(r.doc_id, r.text, None, None, None) for r in edges.collect()], columns)
+    """Tables with columns of the names that operators add, with repeated rows, and without rows."""
+    more = {"n_chars": F.lit(0).cast("long"), "source": F.lit("s"), "lang_pred": F.lit(1), "n_words": F.lit("n"), "__text": F.lit("t"), "component_id": F.lit(7)}
+    rows = edges.withColumns(more)
     for k, docs in enumerate((rows, rows.limit(0))):
+        columns, count = docs.columns, None
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).write.parquet(str(tmp_path / f"{k}-{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
-        if k:
-            assert docs.count() == 0
+            assert name == "packing" or docs.columns == columns
+            count = docs.count() if name == "near-duplicates" else count
+        assert not k or (docs.count(), count) == (0, 0)
+
+
+def test_repeated_rows(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words), (1, words), (2, words), (3, "other words of some text"), (3, "again other words, not alike"), (4, None), (4, None), (5, ""), (None, words), (6, words + " x")]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, words), (3, rows[3][1]), (3, rows[4][1]), (4, None), (5, ""), (None, words)], key=repr)
 
 
 def test_run(spark):

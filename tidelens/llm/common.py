@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelens.sources.folders import shared_folder
+
 #: Rows of one Arrow slice: it bounds what a Python worker holds besides its input batch.
 SLICE_ROWS = 256
 
@@ -18,17 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names in spark.checkpoint.dir; only where none is named, as in
-    tests, to a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read from there, so that a lost executor costs no rerun."""
-    keep_checkpoints(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

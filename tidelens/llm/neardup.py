@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -13,29 +12,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.common import byte_rows, keep_checkpoints, map_slices
+from tidelens.llm.common import byte_rows, map_slices
+from tidelens.sources.folders import Scratch
 
-#: Minwise tokens of a document.
-TOKENS = 64
+#: Minwise tokens of a document. Each tree branches by TREE_TOKENS of its own.
+TOKENS = 256
+TREE_TOKENS = 21
 #: Words whose hash a worker keeps.
 KEPT_WORDS = 200_000
-_MASK = 0x5555555555555555
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder as a table of their own. Unlike a checkpoint, it does not carry
-    on how the rows were partitioned, a description that every join of every level would make longer."""
-    spark = df.sparkSession
-    keep_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/neardup-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+#: Documents of one block of a node that stays large.
+BLOCK = 1536
+#: Rows of a lookup table that is broadcast at most (some 2 MB); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+_SKETCH = ("s0", "s1", "s2", "s3")
 
 
 @lru_cache(maxsize=1)
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20260101)
-    return rng.integers(1, 2**63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, TOKENS, np.uint64)
+def _seeds() -> np.ndarray:
+    return np.random.default_rng(20260101).integers(0, 2**63, 2 * TOKENS, np.uint64)
 
 
 class _Words(dict):
@@ -71,18 +65,39 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
 def minwise(found: np.ndarray) -> np.ndarray:
-    """For each of TOKENS hash functions, the least value over the set, cut to 32 bits."""
-    a, b = _functions()
-    least = np.full(TOKENS, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(found), 2048):
-        np.minimum(least, ((found[i : i + 2048, None] * a + b) >> np.uint64(32)).min(0), out=least)
-    return least
+    """TOKENS values, each equal in two sets with a chance of their similarity.
+
+    In every round each member falls into one of TOKENS bins; a bin keeps the least value of the first round that
+    reaches it. A large set fills all bins in one round. After TOKENS rounds, bins that are still empty take the least
+    value of a round of their own.
+    """
+    out, filled = np.zeros(TOKENS, np.uint64), np.zeros(TOKENS, bool)
+    seeds, at = _seeds(), 0
+    while at < TOKENS and not filled.all():
+        rounds = min(TOKENS - at, -(-2048 // len(found)))
+        v = _mixed(found[None, :] ^ seeds[at : at + rounds, None])
+        order = np.arange(rounds, dtype=np.uint64)[:, None] << np.uint64(48)
+        v = np.sort(((v & np.uint64(0xFF << 56)) | order | (v & np.uint64((1 << 48) - 1))).ravel())
+        bins = (v >> np.uint64(56)).astype(np.intp)
+        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        new = first[~filled[bins[first]]]
+        out[bins[new]] = v[new] & np.uint64((1 << 48) - 1)
+        filled[bins[new]] = True
+        at += rounds
+    for i in np.flatnonzero(~filled):
+        out[i] = _mixed(found ^ seeds[TOKENS + i]).min() & np.uint64((1 << 48) - 1)
+    return out
 
 
 def _profiles(part: pa.RecordBatch, words: int) -> pa.RecordBatch:
-    ids, sizes, prints, tokens, lows, highs = [], [], [], [], [], []
-    shifts = np.arange(0, 64, 2, dtype=np.uint64)
+    ids, sizes, prints, tokens, sketches = [], [], [], [], []
     for doc, text in zip(part.column(0).to_pylist(), byte_rows(part.column(1)), strict=True):
         found = shingles(text, words)
         ids.append(doc)
@@ -90,212 +105,189 @@ def _profiles(part: pa.RecordBatch, words: int) -> pa.RecordBatch:
         if not len(found):
             prints.append(None)
             tokens.append(None)
-            lows.append(None)
-            highs.append(None)
+            sketches.append((None,) * len(_SKETCH))
             continue
         prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
         least = minwise(found)
-        tokens.append(least.astype(np.uint32).view(np.int32).tolist())
-        two = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)) & np.uint64(3)
-        low, high = (np.bitwise_or.reduce(x << shifts) for x in (two[:32], two[32:]))
-        lows.append(int(low.astype(np.int64)))
-        highs.append(int(high.astype(np.int64)))
-    arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "print", "tokens", "low", "high"])
+        tokens.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
+        sketches.append(np.packbits(((least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist())
+    arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())]
+    arrays += [pa.array(list(x), pa.int64()) for x in zip(*sketches, strict=True)] if sketches else [pa.array([], pa.int64())] * len(_SKETCH)
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "print", "tokens", *_SKETCH])
 
 
-_PROFILE = "doc_id long, n_shingles long, print binary, tokens array<int>, low long, high long"
+_PROFILE = "doc_id long, n_shingles long, print binary, tokens binary, " + ", ".join(f"{s} long" for s in _SKETCH)
 
 
-def _agree(a: str, b: str) -> Column:
-    """In how many of the TOKENS two documents' 2-bit sketches agree."""
-    missed = F.lit(0)
-    for half in ("low", "high"):
-        x = F.col(f"{a}.{half}").bitwiseXOR(F.col(f"{b}.{half}"))
-        missed = missed + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_MASK)))
-    return F.lit(TOKENS) - missed
+def _bits(a: str, b: str) -> Column:
+    """In how many of the TOKENS two documents' 1-bit sketches differ."""
+    return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
 
 
-def _chosen(node: Column, tokens: Column, extra_in_1000: int) -> Column:
-    """The children of a document at a node: one minwise token that the node chooses, and with a chance that the node
-    decides, a second. The choice is the node's, so documents at one node branch by the same tokens."""
+def _near(a: str, b: str, most_bits: int) -> Column:
+    """Whether two sets can be similar enough: neither is less than 0.8 of the other, and the sketches are close."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (_bits(a, b) <= most_bits)
 
-    def child(salt: int) -> Column:
-        at = F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(TOKENS)).cast("int")
-        return F.xxhash64(node, at, F.element_at(tokens, at + 1))
 
+def _children(at: DataFrame, extra_in_1000: int) -> DataFrame:
+    """The documents at the children of their nodes. A node chooses one token of its tree, and with a chance that the
+    node decides a second; a document goes to the children that its values of these name. The choice is the node's, so
+    documents at one node branch by the same tokens."""
+    node, t = F.col("node"), F.col("t")
+    one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TREE_TOKENS)).cast("int")
+    two = ((one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TREE_TOKENS - 1)).cast("int")) % TREE_TOKENS).cast("int")
+    child = lambda i: F.xxhash64(node, i, F.substring(t, 2 * i + 1, F.lit(2)))
     both = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra_in_1000
-    return F.when(both, F.array(child(1), child(2))).otherwise(F.array(child(1)))
-
+    return at.withColumn("node", F.explode(F.when(both, F.array(child(one), child(two))).otherwise(F.array(child(one)))))
 
-def _children(at: DataFrame, extra: int) -> DataFrame:
-    """Columns rep, low, high, tree, node: the children of every document at its nodes. at: the columns of sets, and at,
-    an array of tree and node."""
-    below = F.flatten(F.transform("at", lambda s: F.transform(_chosen(s["node"], F.col("tokens"), extra), lambda c: F.struct(s["tree"].alias("tree"), c.alias("node")))))
-    return at.select("rep", "low", "high", F.explode(F.array_distinct(below)).alias("at")).select("rep", "low", "high", "at.tree", "at.node")
 
+def _looked_up(df: DataFrame, table: DataFrame | None, column: str, name: str, scratch: Scratch) -> DataFrame:
+    """Adds the root of a column's documents as `name`; where the table (node, root) has none, it is the document itself."""
+    if table is None:
+        return df.withColumn(name, F.col(column))
+    ups = table.select(F.col("node").alias(column), F.col("root").alias("__up"))
+    ups = F.broadcast(ups) if scratch.rows(table) <= BROADCAST_ROWS else ups
+    return df.join(ups, column, "left").withColumn(name, F.coalesce("__up", column)).drop("__up")
 
-def _with_root(df: DataFrame, roots: DataFrame | None, column: str, root: str) -> DataFrame:
-    """Adds the root of a column's documents; where roots has none, it is the document itself."""
-    if roots is None:
-        return df.withColumn(root, F.col(column))
-    ups = roots.select(F.col("node").alias(column), F.col("root").alias("__up"))
-    return df.join(ups, column, "left").withColumn(root, F.coalesce("__up", column)).drop("__up")
 
+def search(sets: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int = 80, trees: int = 12, most: int = 256, levels: int = 12, most_bits: int = 45, extra: int = 250) -> DataFrame | None:
+    """node and root of the sets that links bring together with a smaller one; None if there is no link.
 
-#: Documents of one block of a node that does not shrink.
-BLOCK = 1536
-
+    sets: rep, tokens, size and the sketch, one row for each different set; full(ids) gives rep and set, the whole set, of
+    the documents in ids (rep). Links are pairs whose whole sets have percent / 100 of their union in common, or more. In
+    each of `trees` trees, documents branch by minwise tokens that the node chooses, 1 + extra / 1000 of them on average,
+    which is the inverse of the similarity sought: a pair of that similarity meets in as many nodes at every depth.
 
-def search(sets: DataFrame, link: Callable[[DataFrame, DataFrame | None], DataFrame], trees: int = 12, most: int = 96, levels: int = 24, least_agreeing: int = 42, extra: int = 250, extra_below: int = 400) -> DataFrame:
-    """node and root, as components() gives them, of all sets.
-
-    sets: rep, tokens, low, high, one row for each different set; link(pairs, roots) gives the roots after the links
-    among candidate pairs a < b are added to roots. In each of `trees` trees, documents branch by minwise tokens
-    that the node chooses, 1 + extra / 1000 of them on average at the root, which is the inverse of the similarity sought, and
-    1 + extra_below / 1000 below it, so that a pair of that similarity is not lost with growing depth.
-
-    At a node, documents outside its largest component, the others, are what can still be linked. Up to `most` of
-    them, a quarter more with every level, are compared with all documents of the node that are in another component. At a node with more, each document
-    is compared with the node's pivot, the first in an order that the tree has for itself; the links are joined to the
-    components, and if there still are more, the documents branch again, as deep as the data asks for. Copies of one text
-    become one component, others part as they branch. Nodes that do neither in `levels` levels are compared in full, in blocks.
+    At every level, documents are first compared with the first of their node; the closest such pair of each document
+    is confirmed and contracted. A node whose documents are of one component is done. If up to `most` (twice as many with
+    every level, up to eight times) are outside its largest component, these are compared with all documents of other
+    components there. At other nodes the documents branch again, and what is still large after `levels` levels is
+    compared in full as well, in blocks. Comparing is left to the end, when few nodes still have two components.
     """
-    root = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t).alias("node")))
-    at, roots = sets.withColumn("at", root), None
-    heads = sets.select(F.col("rep").alias("pivot"), F.struct("low", "high").alias("p"))
+    forest = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(t).alias("node"), F.substring("tokens", 2 * TREE_TOKENS * t + 1, F.lit(2 * TREE_TOKENS)).alias("t")))
+    at = sets.select("rep", "size", *_SKETCH, F.explode(forest).alias("f")).select("rep", "size", *_SKETCH, "f.node", "f.t")
+    roots, leaves = None, []
     for depth in range(1, levels + 1):
-        limit = int(most * 1.25 ** (depth - 1))
-        rows = _children(at, extra if depth == 1 else extra_below)
-        if depth > 1:
-            rows = cut(_with_root(rows, roots, "rep", "root"))
-            sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "tree").alias("o"), "rep")).alias("first"))
-            nodes = sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), F.max_by("root", F.struct("n", "root")).alias("top"), F.min("first")["rep"].alias("pivot"))
-        else:
-            rows = rows.withColumn("root", F.col("rep"))
-            nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "tree")).alias("pivot")).select("node", "n", F.lit(1).cast("long").alias("top_n"), F.col("pivot").alias("top"), "pivot")
-        nodes = cut(_with_root(nodes.filter("n > top_n").join(heads, "pivot"), roots, "pivot", "pivot_root").withColumn("others", F.col("n") - F.col("top_n")))
-        exhaustive = (F.col("n") > 2) & ((F.col("others") <= limit) | F.lit(depth == levels))
-        near = (F.col("b.root") != F.col("pivot_root")) & (_agree("p", "b") >= least_agreeing)
-        blocks = F.ceil(F.col("others") / BLOCK).cast("int")
-        met = cut(rows.alias("b").join(nodes, "node").filter(exhaustive | near).select("node", "b.rep", "b.low", "b.high", "b.root", "pivot", "top", blocks.alias("blocks"), exhaustive.alias("exhaustive")))
-        leaves = met.filter("exhaustive")
-        others = leaves.filter("root <> top").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        all_ = leaves.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        here = (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block"))
-        apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep")))
-        compared = others.alias("a").join(all_.alias("b"), here & apart & (_agree("a", "b") >= least_agreeing)).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
-        pivots = met.filter("not exhaustive").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
-        roots = link(cut(compared.unionByName(pivots).distinct()), roots)
-        large = nodes.filter((F.col("n") > 2) & (F.col("others") > limit)).select("node")
-        if depth == levels or large.isEmpty():
-            break
-        left = cut(_with_root(rows.drop("root").join(large, "node", "left_semi"), roots, "rep", "root").select("rep", "tree", "node", "root"))
-        sizes = left.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"))
-        at = cut(left.join(sizes.filter("n > top_n").select("node"), "node", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("tree", "node")).alias("at")))
+        rows = _children(at, extra)
+        nodes = scratch.keep(rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("rep", "size", *_SKETCH)).alias("p")).filter("n > 1").drop("n"))
+        met = scratch.keep(rows.alias("r").join(nodes, "node").select("node", "r.rep", "r.size", *(f"r.{s}" for s in _SKETCH), "t", F.col("p.rep").alias("pivot"), F.when((F.col("p.rep") != F.col("r.rep")) & _near("p", "r", most_bits), _bits("p", "r")).alias("bits")))
+        closest = met.filter("bits is not null").groupBy("rep").agg(F.min(F.struct("bits", "pivot"))["pivot"].alias("a")).select("a", F.col("rep").alias("b"))
+        pairs = scratch.keep(_looked_up(_looked_up(closest, roots, "a", "a_root", scratch), roots, "b", "b_root", scratch).filter("a_root <> b_root"))
+        if scratch.rows(pairs):
+            found = _confirmed(pairs, scratch.keep(full(_ends(pairs))), percent)
+            roots = _contracted(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), roots, scratch)
+        parts = _looked_up(met.select("node", "rep"), roots, "rep", "root", scratch).groupBy("node", "root").agg(F.count("*").alias("n"))
+        open_ = scratch.keep(parts.groupBy("node").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 0"))
+        large = (F.col("others") > most * min(2 ** (depth - 1), 8)) & F.lit(depth < levels)
+        left = scratch.keep(met.drop("pivot", "bits").join(open_.withColumn("large", large).drop("others"), "node"))
+        scratch.drop(nodes, met, pairs, open_)
+        leaves.append(left.filter("not large").drop("t", "large"))
+        at = left.filter("large").drop("large")
         if at.isEmpty():
             break
-        at = sets.join(at, "rep")
-    return roots
-
+    rows = leaves[0]
+    for more in leaves[1:]:
+        rows = rows.unionByName(more)
+    return _contracted(_compared(_looked_up(rows, roots, "rep", "root", scratch), full, scratch, percent, most_bits), roots, scratch)
 
-def _among(df: DataFrame, ids: DataFrame, doc_id: str, cells: int = 1 << 18) -> DataFrame:
-    """The rows of df whose id is in ids (column rep). Ahead of the join, a bitmap of 64 * cells bits drops most others
-    where they are read, so that only few texts are shuffled; it is broadcast, and has `cells` rows at most."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * cells))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
-    bits = ids.groupBy(F.floor(place(F.col("rep")) / 64).alias("cell")).agg(F.bit_or(bit(F.col("rep"))).alias("bits"))
-    likely = df.withColumn("cell", F.floor(place(F.col(doc_id)) / 64)).join(F.broadcast(bits), "cell")
-    likely = likely.filter(F.col("bits").bitwiseAND(bit(F.col(doc_id))) != 0).drop("cell", "bits")
-    return likely.join(ids.select(F.col("rep").alias(doc_id)), doc_id, "left_semi")
 
+def _compared(rows: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, most_bits: int) -> DataFrame:
+    """a and b, the roots of linked documents, among those that are at one node and of different components.
 
-def full_sets(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """rep and set, the full shingle set, of every document in a pair. texts: doc_id, text."""
+    First only documents stay that the sketch lets pass with some other document of their node. What is left is compared
+    on whole sets, at the first of the nodes that both documents are at; that takes place in the join's condition,
+    so what comes out of it are links, not pairs.
+    """
+    rows = scratch.keep(rows)
+    sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("root", F.struct("n", "root")).alias("top"))
+    tops = scratch.keep(sizes.filter("others > 0").select("node", "top", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")))
+    met = rows.join(tops, "node")
+    others = met.filter("root <> top").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    here = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    together = (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.root") != F.col("b.root"))
+    together = together & ((F.col("b.root") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep"))) & _near("a", "b", most_bits)
+    here = scratch.keep(here.alias("b").join(others.alias("a"), together, "left_semi"))
+    others = scratch.keep(others.alias("a").join(here.alias("b"), together, "left_semi"))
+    at = here.select("rep", "node").unionByName(others.select("rep", "node")).groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+    known = scratch.keep(at.join(full(at.select("rep")), "rep"))
+    first = F.array_min(F.array_intersect("a.nodes", "b.nodes")) == F.col("a.node")
+    a, b = (side.drop("blocks").join(known, "rep").alias(name) for side, name in ((others, "a"), (here, "b")))
+    return b.join(a, together & first & _alike("a", "b", percent)).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
 
-    def full(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(x, words).astype("<u8").tobytes() for x in byte_rows(part.column(1))]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["rep", "set"])
 
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    return cut(map_slices(_among(texts, ids, "doc_id"), full, "rep long, set binary"))
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether percent / 100 of the union of two whole sets, or more, is in both."""
+    return (100 + percent) * F.size(F.array_intersect(f"{a}.set", f"{b}.set")) >= percent * (F.size(f"{a}.set") + F.size(f"{b}.set"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (columns a and b, and others) whose full sets have percent / 100 of their union in common, or more."""
-    rest = [c for c in pairs.columns if c not in ("a", "b")]
-    one, other = sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), sets.select(F.col("rep").alias("a"), F.col("set").alias("x"))
-    names = ["a", "b", *rest]
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
 
-    def check(part: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(byte_rows(part.column(len(names))), byte_rows(part.column(len(names) + 1)), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            small, large = sorted((x, y), key=len)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[at] == small).sum()) if len(large) else 0
-            keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-        return part.select(list(range(len(names)))).filter(pa.array(keep, pa.bool_()))
 
-    return map_slices(pairs.join(one, "b").join(other, "a").select(*names, "x", "y"), check, ", ".join(f"{c} long" for c in names))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (columns a and b, and others) that are links."""
+    one, other = sets.select(F.col("rep").alias("b"), F.struct("set").alias("y")), sets.select(F.col("rep").alias("a"), F.struct("set").alias("x"))
+    return pairs.join(one, "b").join(other, "a").filter(_alike("x", "y", percent)).drop("x", "y")
 
 
-def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The roots after links (a < b, both roots) are added."""
-    more = components(cut(links.distinct()))
-    if roots is None:
-        return cut(more)
-    ups = more.select(F.col("node").alias("root"), F.col("root").alias("up"))
-    return cut(roots.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(more))
+def _contracted(links: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame | None:
+    """The roots after links among them."""
+    links = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = components(links, scratch)
+    if roots is None or more is None:
+        return roots if more is None else more
+    moved = _looked_up(roots.select("node", F.col("root").alias("was")), more, "was", "root", scratch)
+    return scratch.keep(moved.select("node", "root").unionByName(more.select("node", "root")))
 
 
-def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, roots: DataFrame | None = None) -> DataFrame:
-    """node and root, as components() gives them, after the links among the candidate pairs are added to roots.
+def _among(df: DataFrame, ids: DataFrame, doc_id: str, cells: int = 1 << 18) -> DataFrame:
+    """The rows of df whose id is in ids (column rep). Ahead of the join, a bitmap of 64 * cells bits drops most others
+    where they are read, so that only few texts are shuffled; it is broadcast, and has `cells` rows at most."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * cells))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    bits = ids.groupBy(F.floor(place(F.col("rep")) / 64).alias("cell")).agg(F.bit_or(bit(F.col("rep"))).alias("bits"))
+    likely = df.withColumn("cell", F.floor(place(F.col(doc_id)) / 64)).join(F.broadcast(bits), "cell")
+    likely = likely.filter(F.col("bits").bitwiseAND(bit(F.col(doc_id))) != 0).drop("cell", "bits")
+    return likely.join(ids.select(F.col("rep").alias(doc_id)), doc_id, "left_semi")
 
-    First one pair of each document is held against the full sets. Of the other pairs only those matter that would join
-    two of the components so found, so only these are confirmed: the work follows the number of
-    documents, not the number of pairs in a large group.
-    """
 
-    def between(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        return cut(_with_root(_with_root(pairs, roots, "a", "a_root"), roots, "b", "b_root").filter("a_root <> b_root").select("a", "b", "a_root", "b_root"))
+def full_sets(ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """rep and set, the whole shingle set, of the documents in ids (rep). texts: doc_id, text."""
 
-    def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        return confirmed(pairs, sets, percent).select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+    def full(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(x, words).view(np.int64) for x in byte_rows(part.column(1))]
+        ends = np.cumsum([0, *map(len, found)])
+        values = pa.array(np.concatenate(found) if found else [], pa.int64())
+        return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["rep", "set"])
 
-    open_ = between(pairs, roots)
-    if roots is not None and open_.isEmpty():
-        return roots
-    sets = full_sets(open_, texts, words)
-    first = open_.groupBy("b").agg(F.min_by(F.struct("a", "a_root", "b_root"), "a").alias("x")).select("x.a", "b", "x.a_root", "x.b_root")
-    roots = _joined(roots, links(first, sets))
-    open_ = between(open_.select("a", "b"), roots)
-    return roots if open_.isEmpty() else _joined(roots, links(open_, sets))
+    return map_slices(_among(texts, ids, "doc_id"), full, "rep long, set array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root for every node of edges (a < b) that can reach a smaller one; root is the smallest.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """node and root for every node of edges (a < b) that can reach a smaller one; root is the smallest. None without edges.
 
     Each node is hooked to its smallest neighbour below it, chains are halved until they end at roots, edges are
-    carried over to the roots, and so on until none is left. Every table is written to the checkpoint folder.
+    carried over to the roots, and so on until none is left.
     """
     known = None
-    while not edges.isEmpty():
-        hooks = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+    while scratch.rows(edges):
+        hooks = scratch.keep(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:
-            ups = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            hooks = cut(hooks.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
-            moved = not hooks.filter("moved").isEmpty()
-            hooks = hooks.drop("moved")
-            if not moved:
+            jumped = _looked_up(hooks.select("node", F.col("root").alias("was")), hooks, "was", "root", scratch)
+            hooks = scratch.keep(jumped)
+            if hooks.filter("root <> was").isEmpty():
                 break
-        ups = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        known = hooks if known is None else cut(known.join(ups, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(hooks))
-        ends = edges
-        for end in ("a", "b"):
-            ends = ends.join(hooks.select(F.col("node").alias(end), F.col("root").alias("up")), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        edges = cut(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")) if known is None else known
+        if known is None:
+            known = hooks
+        else:
+            moved = _looked_up(known.select("node", F.col("root").alias("was")), hooks, "was", "root", scratch)
+            known = scratch.keep(moved.select("node", "root").unionByName(hooks.select("node", "root")))
+        if scratch.rows(hooks) == scratch.rows(edges):  # every edge is a hook, and so within a component now
+            return known
+        ends = _looked_up(_looked_up(edges, hooks, "a", "x", scratch), hooks, "b", "y", scratch).filter("x <> y")
+        edges = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return known
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, trees: int = 12, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -312,12 +304,18 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, trees: int
     """
     if percent < 80:
         raise ValueError("the search is made for similarities of 0.8 or more")
+    scratch = Scratch(df.sparkSession, "neardup")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    profiles = cut(map_slices(rows, lambda part: _profiles(part, words), _PROFILE))
+    profiles = scratch.keep(map_slices(rows, lambda part: _profiles(part, words), _PROFILE))
     known = profiles.filter("doc_id is not null and print is not null")
-    sets = cut(known.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("low").alias("low"), F.first("high").alias("high")))
-    roots = search(sets.drop("print"), lambda pairs, roots: linked(pairs, rows, words, percent, roots), trees)
-    classes = cut(sets.select("print", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("print", F.coalesce("root", "rep").alias("component_id")))
-    found = profiles.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    sets = scratch.keep(known.groupBy("print", F.col("n_shingles").cast("int").alias("size"), "tokens", *_SKETCH).agg(F.min("doc_id").alias("rep")))
+    work = Scratch(df.sparkSession, "neardup")
+    roots = search(sets.drop("print"), lambda ids: full_sets(ids, rows, words), work, percent, trees)
+    classes = scratch.keep(_looked_up(sets.select("print", "rep"), roots, "rep", "component_id", work).drop("rep"))
+    work.clear()
+    scratch.drop(sets)
+    shown = profiles.select("doc_id", "n_shingles", "print")
+    alone = shown.filter("print is null").withColumn("component_id", F.lit(None).cast("long"))
+    found = shown.filter("print is not null").join(classes, "print", "left").unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
