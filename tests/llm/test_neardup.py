@@ -89,6 +89,19 @@ def test_similarity_below_the_search(documents):
         neardup.near_duplicates(documents, percent=50)
 
 
+def test_word_hashes(monkeypatch):
+    monkeypatch.setattr(neardup, "PIECE", 50)
+    monkeypatch.setattr(neardup, "LONG_WORD", 12)
+    neardup._letters.cache_clear()
+    rng, seen = random.Random(1), {}
+    for _ in range(2000):
+        text = "".join(rng.choice("aAbB \n\té\x1cxyzQ") for _ in range(rng.randrange(200))).encode()
+        words, found = text.lower().split(), neardup.word_hashes(text).tolist()
+        assert len(words) == len(found) and all(seen.setdefault(w, h) == h for w, h in zip(words, found, strict=True))
+    assert len(set(seen.values())) == len(seen)
+    neardup._letters.cache_clear()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 300, 5000])
 def test_minwise_tells_similarity(n):
     rng = np.random.default_rng(n)

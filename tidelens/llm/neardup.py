@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -18,8 +19,6 @@ from tidelens.sources.folders import Scratch
 #: Minwise tokens of a document. Each tree branches by TREE_TOKENS of its own.
 TOKENS = 256
 TREE_TOKENS = 21
-#: Words whose hash a worker keeps.
-KEPT_WORDS = 200_000
 #: Documents of one block of a node that stays large.
 BLOCK = 1536
 #: Rows of a lookup table that is broadcast at most (some 2 MB); larger ones are joined by a shuffle.
@@ -32,19 +31,47 @@ def _seeds() -> np.ndarray:
     return np.random.default_rng(20260101).integers(0, 2**63, 2 * TOKENS, np.uint64)
 
 
-class _Words(dict):
-    """64-bit hashes of words."""
+#: Words longer than this, in bytes, are hashed one by one; a text is read in pieces of about PIECE bytes, cut between words.
+LONG_WORD, PIECE = 4096, 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
 
-
-_hash = _Words()
+@lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte, whether it is white space, and its number (capitals have that of their small letter, white space 0); the weights of places in a word."""
+    rng = np.random.default_rng(20260202)
+    numbers = rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    numbers[65:91] = numbers[97:123]
+    blank = np.zeros(256, bool)
+    blank[[*range(9, 14), 32]] = True
+    numbers[blank] = 0
+    weights = np.cumprod(np.full(LONG_WORD, rng.integers(1, 2**62), np.uint64) * np.uint64(2) + np.uint64(1))
+    return blank, numbers, weights
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, in order: what ASCII white space separates, lower-cased in A-Z."""
+    blank, numbers, weights = _letters()
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        cut_ = _BLANK.search(text, at + PIECE)
+        piece = text[at : cut_.start() if cut_ else len(text)]
+        at += len(piece) + 1
+        b = np.frombuffer(piece, np.uint8)
+        inside = np.zeros(len(b) + 2, bool)
+        np.logical_not(blank[b], out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            continue
+        b = b[starts[0] :]
+        starts = starts - starts[0]
+        place = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+        h = _mixed(np.add.reduceat(numbers[b] * weights[np.minimum(place, LONG_WORD - 1)], starts))
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            h[i] = xxhash.xxh64_intdigest(piece[edges[2 * i] : edges[2 * i + 1]].lower())
+        out.append(h)
+    return np.concatenate(out)
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -53,16 +80,16 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     The text is lower-cased in A-Z; its words are what ASCII white space separates. With fewer words than a shingle
     has, the whole sequence is one; without words the set is empty.
     """
-    found = text.lower().split() if text else []
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, found), np.uint64, len(found))
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
     n = min(words, len(h))
     total = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         total = (total ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
-    return np.unique(total)
+    total.sort()
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,7 +113,7 @@ def minwise(found: np.ndarray) -> np.ndarray:
         order = np.arange(rounds, dtype=np.uint64)[:, None] << np.uint64(48)
         v = np.sort(((v & np.uint64(0xFF << 56)) | order | (v & np.uint64((1 << 48) - 1))).ravel())
         bins = (v >> np.uint64(56)).astype(np.intp)
-        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
         new = first[~filled[bins[first]]]
         out[bins[new]] = v[new] & np.uint64((1 << 48) - 1)
         filled[bins[new]] = True
@@ -242,14 +269,15 @@ def _contracted(links: DataFrame, roots: DataFrame | None, scratch: Scratch) ->
 
 
 def _among(df: DataFrame, ids: DataFrame, doc_id: str, cells: int = 1 << 18) -> DataFrame:
-    """The rows of df whose id is in ids (column rep). Ahead of the join, a bitmap of 64 * cells bits drops most others
-    where they are read, so that only few texts are shuffled; it is broadcast, and has `cells` rows at most."""
+    """The rows of df whose id is in ids (column rep, each once). Ahead of the join, a bitmap of 64 * cells bits drops most
+    others where they are read, so that only few texts are shuffled; it is broadcast, and has `cells` rows at most. (A
+    semi-join would be planned ahead of the bitmap.)"""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * cells))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
     bits = ids.groupBy(F.floor(place(F.col("rep")) / 64).alias("cell")).agg(F.bit_or(bit(F.col("rep"))).alias("bits"))
     likely = df.withColumn("cell", F.floor(place(F.col(doc_id)) / 64)).join(F.broadcast(bits), "cell")
     likely = likely.filter(F.col("bits").bitwiseAND(bit(F.col(doc_id))) != 0).drop("cell", "bits")
-    return likely.join(ids.select(F.col("rep").alias(doc_id)), doc_id, "left_semi")
+    return likely.join(ids.select(F.col("rep").alias(doc_id)), doc_id)
 
 
 def full_sets(ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
