@@ -174,7 +174,7 @@ def _looked_up(df: DataFrame, table: DataFrame | None, column: str, name: str, s
     if table is None:
         return df.withColumn(name, F.col(column))
     ups = table.select(F.col("node").alias(column), F.col("root").alias("__up"))
-    ups = F.broadcast(ups) if scratch.rows(table) <= BROADCAST_ROWS else ups
+    ups = _small(ups, scratch.rows(table))
     return df.join(ups, column, "left").withColumn(name, F.coalesce("__up", column)).drop("__up")
 
 
@@ -194,7 +194,7 @@ def search(sets: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scr
     """
     forest = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(t).alias("node"), F.substring("tokens", 2 * TREE_TOKENS * t + 1, F.lit(2 * TREE_TOKENS)).alias("t")))
     at = sets.select("rep", "size", *_SKETCH, F.explode(forest).alias("f")).select("rep", "size", *_SKETCH, "f.node", "f.t")
-    roots, leaves = None, []
+    roots, leaves, kept = None, [], []
     for depth in range(1, levels + 1):
         rows = _children(at, extra)
         nodes = scratch.keep(rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("rep", "size", *_SKETCH)).alias("p")).filter("n > 1").drop("n"))
@@ -202,13 +202,16 @@ def search(sets: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scr
         closest = met.filter("bits is not null").groupBy("rep").agg(F.min(F.struct("bits", "pivot"))["pivot"].alias("a")).select("a", F.col("rep").alias("b"))
         pairs = scratch.keep(_looked_up(_looked_up(closest, roots, "a", "a_root", scratch), roots, "b", "b_root", scratch).filter("a_root <> b_root"))
         if scratch.rows(pairs):
-            found = _confirmed(pairs, scratch.keep(full(_ends(pairs))), percent)
+            whole = scratch.keep(full(_small(_ends(pairs), 2 * scratch.rows(pairs))))
+            found = _confirmed(_small(pairs, scratch.rows(pairs)), whole, percent)
             roots = _contracted(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), roots, scratch)
+            scratch.drop(whole)
         parts = _looked_up(met.select("node", "rep"), roots, "rep", "root", scratch).groupBy("node", "root").agg(F.count("*").alias("n"))
         open_ = scratch.keep(parts.groupBy("node").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 0"))
         large = (F.col("others") > most * min(2 ** (depth - 1), 8)) & F.lit(depth < levels)
         left = scratch.keep(met.drop("pivot", "bits").join(open_.withColumn("large", large).drop("others"), "node"))
         scratch.drop(nodes, met, pairs, open_)
+        kept.append(left)
         leaves.append(left.filter("not large").drop("t", "large"))
         at = left.filter("large").drop("large")
         if at.isEmpty():
@@ -216,17 +219,18 @@ def search(sets: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scr
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
-    return _contracted(_compared(_looked_up(rows, roots, "rep", "root", scratch), full, scratch, percent, most_bits), roots, scratch)
+    rows = scratch.keep(_looked_up(rows, roots, "rep", "root", scratch))
+    scratch.drop(*kept)
+    return _contracted(_compared(rows, full, scratch, percent, most_bits), roots, scratch)
 
 
 def _compared(rows: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, most_bits: int) -> DataFrame:
     """a and b, the roots of linked documents, among those that are at one node and of different components.
 
-    First only documents stay that the sketch lets pass with some other document of their node. What is left is compared
-    on whole sets, at the first of the nodes that both documents are at; that takes place in the join's condition,
-    so what comes out of it are links, not pairs.
+    First only documents stay that the sketch lets pass with some other document of their node, then, of the nodes of a
+    document, those where it is compared with such another: a pair is compared at one of its common nodes, which its ids
+    choose, so that the pairs of a group spread over the group's nodes. What is left is compared on whole sets; that takes place in the join's condition, so what comes out of it are links, not pairs.
     """
-    rows = scratch.keep(rows)
     sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("root", F.struct("n", "root")).alias("top"))
     tops = scratch.keep(sizes.filter("others > 0").select("node", "top", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")))
     met = rows.join(tops, "node")
@@ -234,13 +238,26 @@ def _compared(rows: DataFrame, full: Callable[[DataFrame], DataFrame], scratch:
     here = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     together = (F.col("a.node") == F.col("b.node")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.root") != F.col("b.root"))
     together = together & ((F.col("b.root") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep"))) & _near("a", "b", most_bits)
-    here = scratch.keep(here.alias("b").join(others.alias("a"), together, "left_semi"))
-    others = scratch.keep(others.alias("a").join(here.alias("b"), together, "left_semi"))
-    at = here.select("rep", "node").unionByName(others.select("rep", "node")).groupBy("rep").agg(F.collect_set("node").alias("nodes"))
-    known = scratch.keep(at.join(full(at.select("rep")), "rep"))
-    first = F.array_min(F.array_intersect("a.nodes", "b.nodes")) == F.col("a.node")
-    a, b = (side.drop("blocks").join(known, "rep").alias(name) for side, name in ((others, "a"), (here, "b")))
-    return b.join(a, together & first & _alike("a", "b", percent)).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
+
+    def both(others: DataFrame, here: DataFrame, together: Column) -> tuple[DataFrame, DataFrame]:
+        here = scratch.keep(here.alias("b").join(others.alias("a"), together, "left_semi"))
+        return scratch.keep(others.alias("a").join(here.alias("b"), together, "left_semi")), here
+
+    others, here = both(others.drop("blocks"), here.drop("blocks"), together)
+    scratch.drop(rows, tops)
+    at = scratch.keep(here.select("rep", "node").unionByName(others.select("rep", "node")).groupBy("rep").agg(F.array_sort(F.collect_set("node")).alias("nodes")))
+    common = F.array_intersect("a.nodes", "b.nodes")
+    place = F.pmod(F.xxhash64(F.least("a.rep", "b.rep"), F.greatest("a.rep", "b.rep")), F.size(common).cast("long")).cast("int") + 1
+    together = together & (F.element_at(common, place) == F.col("a.node"))
+    others, here = both(*(side.join(at, "rep") for side in (others, here)), together)
+    whole = scratch.keep(full(_small(at.select("rep"), scratch.rows(at))))
+    a, b = (side.join(whole, "rep").alias(name) for side, name in ((others, "a"), (here, "b")))
+    return b.join(a, together & _alike("a", "b", percent)).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has few enough rows (of some numbers each)."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -277,7 +294,7 @@ def _among(df: DataFrame, ids: DataFrame, doc_id: str, cells: int = 1 << 18) ->
     bits = ids.groupBy(F.floor(place(F.col("rep")) / 64).alias("cell")).agg(F.bit_or(bit(F.col("rep"))).alias("bits"))
     likely = df.withColumn("cell", F.floor(place(F.col(doc_id)) / 64)).join(F.broadcast(bits), "cell")
     likely = likely.filter(F.col("bits").bitwiseAND(bit(F.col(doc_id))) != 0).drop("cell", "bits")
-    return likely.join(ids.select(F.col("rep").alias(doc_id)), doc_id)
+    return likely.join(ids.withColumnRenamed("rep", doc_id), doc_id)
 
 
 def full_sets(ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
