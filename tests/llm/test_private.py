@@ -126,3 +126,44 @@ def test_disguised_as_common_as_plain(spark):
     chosen = [text[a:b] for text, spans in found(df, private.learn(df), "spans") for _, a, b in spans]
     assert sum(x in set(chosen) for x in planted) >= 0.95 * len(planted)
     assert not set(chosen) & set(harmless) and not any("noon" in x for x in chosen)
+
+
+def test_many_in_one_text(spark, models):
+    """More matches than a block of a walk has, some of them in other writings, all where a plain walk puts them."""
+    said = [f"name{i}@site{i % 7}.org" if i % 3 else f"n{i} [at] site{i} [dot] org" for i in range(700)]
+    text = "é " + ", ".join(said)
+    want, at = [], 2
+    for x in said:
+        want.append((at, at + len(x)))
+        at += len(x) + 2
+    ((_, spans),) = found(spark.createDataFrame([(1, text)], "doc_id long, text string"), models, "spans")
+    assert [(a, b) for _, a, b in spans] == want and {k for k, _, _ in spans} == {"email"}
+    redacted = private.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), models).first().text
+    assert redacted == "é " + ", ".join(["[EMAIL]"] * 700)
+
+
+def test_added_against_a_plain_version(spark, models, documents):
+    """What is added is the free candidates that the trees choose, first come first, by hand from their features."""
+    names = list(private.FEATURES)
+    t = F.col("text")
+    extra = spark.createDataFrame([(10**6, "cards 4111111111111111 5555555555554444, tel (030) 555-123-4567 or a.b @ c.org; 2021-03-04 1.2.3.4")], "doc_id long, text string")
+    docs = documents.select("doc_id", "text").filter("text is not null").unionByName(extra)
+    wide = docs.select("doc_id", F.transform(private.wide_spans(t), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(*(c.alias(k) for k, c in private._feature_values(s).items())).alias("x"))).alias("wide"))
+    wide = {r.doc_id: r.wide for r in wide.collect()}
+    total = 0
+    for r in private.find(docs, models).collect():
+        got = {(private.KINDS[s.kind], s.start, s.end) for s in r.spans} - (base := {(private.KINDS[s.kind], s.start, s.end) for s in r.base})
+        chosen = []
+        for s in wide[r.doc_id]:
+            if all(b <= s.start or s.end <= a for _, a, b in base):
+                over, kind = max((private._walked(m.trees, np.array([s.x[n] for n in names]), names) - m.least, -private.KINDS.index(k)) for k, m in models.items())
+                if over >= 0:
+                    chosen.append((s.start, s.end, -kind))
+        end, want = 0, set()
+        for a, b, kind in sorted(chosen):
+            if a >= end:
+                want.add((private.KINDS[kind], a, b))
+                end = b
+        assert got == want
+        total += len(got)
+    assert total >= 3

@@ -25,6 +25,8 @@ _IP_FITS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|
 #: The wide generators: addresses written out or spaced, and any run of digits with separators.
 _WIDE_EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)*+"
 _WIDE_NUMBER = r"[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9])++"
+#: One group of many digits in a longer number, as where two cards stand side by side.
+_GROUP = r"(?<![0-9])[0-9]{13,19}(?=[\x20().-]{1,2}[0-9])|(?<=[0-9][\x20().-]|[0-9][\x20().-][\x20().-])[0-9]{13,19}(?![0-9])"
 _CONTEXT = {
     "email": "(?i)(?:e-?mail|contact|write|reach)[^\n]*$",
     "ip": r"(?i)\b(?:ip|server|login|logged|addr(?:ess)?)\b[^\n]*$",
@@ -55,8 +57,35 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+#: Items of one block of a walk.
+_BLOCK = 128
+
+
+def _walk(items: Column, kind: str, state: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """`out` of step(state, item), a struct of state and out, for every item in order, as an array of `kind`. The results
+    are gathered by blocks, as an array that grows one by one is copied for each."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def one(acc: Column, x: Column) -> Column:
+        return _let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def walked(items: Column) -> Column:
+        def block(acc: Column, j: Column) -> Column:
+            found = F.aggregate(F.slice(items, j * _BLOCK + 1, _BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return _let(found, lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["blocks"], r["out"]).alias("blocks")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+        start = F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("blocks"))
+        return F.when(F.size(items) > 0, F.aggregate(blocks, start, block, lambda acc: F.flatten(acc["blocks"]))).otherwise(none)
+
+    return _let(items, walked)
+
+
+_SPAN = "struct<start: bigint, end: bigint, m: string, before: string, after: string>"
+
+
 def _no_spans() -> Column:
-    return F.expr("cast(array() as array<struct<start: bigint, end: bigint, m: string, before: string, after: string>>)")
+    return F.expr(f"cast(array() as array<{_SPAN}>)")
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -64,17 +93,16 @@ def matches(text: Column, pattern: str) -> Column:
 
     def placed(m: Column) -> Column:
         def add(gaps: Column) -> Callable[[Column, Column], Column]:
-            def step(acc: Column, i: Column) -> Column:
+            def step(at: Column, i: Column) -> Column:
                 found, gap = F.element_at(m, i), F.element_at(gaps, i)
-                start = acc["at"] + F.length(gap)
+                start = at + F.length(gap)
                 end = start + F.length(found)
                 span = F.struct(start.alias("start"), end.alias("end"), found.alias("m"), F.right(gap, F.lit(_CONTEXT_CHARS)).alias("before"), F.left(F.element_at(gaps, i + 1), F.lit(1)).alias("after"))
-                return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+                return F.struct(end.alias("state"), span.alias("out"))
 
             return step
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), _no_spans().alias("out"))
-        walked = _let(F.split(text, pattern, -1), lambda gaps: F.aggregate(F.sequence(F.lit(1), F.size(m)), start, add(gaps), lambda acc: acc["out"]))
+        walked = _let(F.split(text, pattern, -1), lambda gaps: _walk(F.sequence(F.lit(1), F.size(m)), _SPAN, F.lit(0).cast("long"), add(gaps)))
         return F.when(F.size(m) > 0, walked).otherwise(_no_spans())
 
     return _let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
@@ -105,11 +133,12 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def wide_spans(text: Column) -> Column:
-    """All candidates: addresses of any writing, and numbers of seven digits or more that do not touch a letter."""
+    """All candidates, which may overlap: addresses of any writing, numbers of seven digits or more that do not touch a
+    letter, and long groups of digits inside such numbers."""
     maybe = F.contains(text, F.lit("@")) | F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)"))
     emails = F.when(maybe, matches(text, _WIDE_EMAIL)).otherwise(_no_spans())
     numbers = F.filter(matches(text, _WIDE_NUMBER), lambda s: (F.length(_digits(s["m"])) >= 7) & ~s["before"].rlike(r"[\p{L}_]$") & ~s["after"].rlike(r"^[\p{L}_@]"))
-    return F.concat(emails, numbers)
+    return F.concat(emails, numbers, matches(text, _GROUP))
 
 
 def _feature_values(s: Column) -> dict[str, Column]:
@@ -133,6 +162,8 @@ def _feature_values(s: Column) -> dict[str, Column]:
         "spelled": flag(m.rlike(r"[\[(](?:at|dot)[\])]")),
         "spaced": flag(m.rlike(r" ?@ | @")),
     }
+    for k in ("digits", "groups", "first", "last", "dashes"):  # digits of a name say nothing about an address
+        values[k] = F.when(at, 0).otherwise(values[k])
     values |= {f"said_{k}": flag(s["before"].rlike(_CONTEXT[k])) for k in KINDS}
     return {k: F.least(values[k], F.lit(FEATURES[k])) for k in FEATURES}
 
@@ -198,31 +229,58 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def _disguised(kind: str, rows: np.ndarray, names: list[str]) -> list[np.ndarray]:
-    """Copies of a kind's feature vectors: an address spelled out, or with spaces; a card with dots; a phone number without its plus
-    sign, or without its country code too."""
+_EVENT = "struct<start: bigint, wide: int, end: bigint, id: int, hit: boolean>"
+
+
+def _free(wide: Column, found: Column) -> Column:
+    """The candidates that overlap none of the found spans: one walk from left to right, which knows how far the spans
+    begun so far reach, and one back, which knows where the next begins."""
+
+    def event(s: Column, is_wide: int, i: Column) -> Column:
+        return F.struct(s["start"].alias("start"), F.lit(is_wide).alias("wide"), s["end"].alias("end"), i.cast("int").alias("id"), F.lit(False).alias("hit"))
+
+    def seen(state: Column, e: Column, new: Column, hit: Column) -> Column:
+        out = F.struct(e["start"].alias("start"), e["wide"].alias("wide"), e["end"].alias("end"), e["id"].alias("id"), (e["hit"] | ((e["wide"] == 1) & hit)).alias("hit"))
+        return F.struct(F.when(e["wide"] == 0, new).otherwise(state).alias("state"), out.alias("out"))
 
-    def copy(**values: np.ndarray | int) -> np.ndarray:
-        out = rows.copy()
-        for name, value in values.items():
-            out[:, names.index(name)] = value
-        return out
+    def free(wide: Column) -> Column:
+        events = F.sort_array(F.concat(F.transform(found, lambda s: event(s, 0, F.lit(-1))), F.transform(wide, lambda s, i: event(s, 1, i))))
+        there = _walk(events, _EVENT, F.lit(0).cast("long"), lambda reach, e: seen(reach, e, F.greatest(reach, e["end"]), reach > e["start"]))
+        back = _walk(F.reverse(there), _EVENT, F.lit(2**62), lambda next_, e: seen(next_, e, e["start"], next_ < e["end"]))
+        return F.transform(F.filter(back, lambda e: (e["wide"] == 1) & ~e["hit"]), lambda e: F.element_at(wide, e["id"] + 1))
 
-    of = lambda name: rows[:, names.index(name)]
-    if kind == "email":
-        return [copy(spelled=1, dots=np.maximum(of("dots") - 1, 0)), copy(spaced=1)]
-    if kind == "card":
-        return [copy(dots=3, dashes=0, groups=4, first=4, last=4)]
-    if kind == "phone":
-        return [copy(plus=0), copy(plus=0, groups=np.maximum(of("groups") - 1, 1), digits=of("digits") - of("first"), first=3)]
-    return []
+    return _let(wide, lambda w: F.when(F.size(w) > 0, F.when(F.size(found) > 0, free(w)).otherwise(w)).otherwise(w))
+
+
+def _disguised(kind: int, m: Column) -> Column:
+    """Other writings of a span: an address spelled out, in brackets or with spaces; a card with dots; a phone number
+    without its plus sign, or without its country code too."""
+    if KINDS[kind] == "email":
+        spelled = F.regexp_replace(F.regexp_replace(m, "@", " [at] "), r"\.", " [dot] ")
+        return F.array(spelled, F.regexp_replace(m, "@", "(at)"), F.regexp_replace(m, "@", " @ "))
+    if KINDS[kind] == "card":
+        return F.array(F.regexp_replace(_digits(m), "(.{4})(?=.)", "$1."), F.regexp_replace(_digits(m), "(.{4})(?=.)", "$1 - "))
+    if KINDS[kind] == "phone":
+        return F.array(F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", ""))
+    return F.expr("cast(array() as array<string>)")
+
+
+def _rewritten(found: DataFrame) -> DataFrame:
+    """held, s and is_ columns of the candidates in base spans (held, base) that are written in other ways."""
+    def ways_of(kind: int) -> Callable[[Column], Column]:
+        return lambda b: F.struct(F.lit(kind).alias("kind"), b["before"].alias("before"), b["after"].alias("after"), _disguised(kind, b["m"]).alias("ways"))
+
+    each = F.concat(*(F.transform(f"base.{k}", ways_of(i)) for i, k in enumerate(KINDS)))
+    ways = found.select("held", F.explode(each).alias("b")).select("held", "b.kind", "b.before", "b.after", F.explode("b.ways").alias("m"))
+    spans = ways.withColumn("s", F.explode(wide_spans(F.concat("before", "m", "after")))).filter((F.col("s.start") < F.length("before") + F.length("m")) & (F.length("before") < F.col("s.end")))
+    return spans.select("held", "s", *((F.col("kind") == i).cast("int").alias(f"is_{k}") for i, k in enumerate(KINDS)))
 
 
 def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[str, Trees]:
     """By kind, trees that tell the spans of that kind, and the threshold at which `precision` of what they choose is.
 
-    Spans of a kind are what a base span of the kind overlaps. They are also shown as they would look when written in a
-    way that the base does not know, so that the rest of their form and context has to tell. Candidates that are known
+    Spans of a kind are what a base span of the kind overlaps. Each base span is also written in other ways, which the
+    base does not know, in the text around it, and the generators run over that. Candidates that are known
     to be harmless, or are base spans of another kind, are none. Any other candidate may be either: it takes no part,
     so the number of such candidates does not bound what is chosen. The threshold is that of a fifth of the documents
     that the trees are not fitted on. Candidates come to the driver as counts of equal feature vectors.
@@ -232,7 +290,8 @@ def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[st
     found = df.select(held_out.cast("int").alias("held"), F.struct(*(c.alias(k) for k, c in base_spans(t).items())).alias("base"), wide_spans(t).alias("wide")).filter(F.size("wide") > 0)
     names, is_ = list(FEATURES), [f"is_{k}" for k in KINDS]
     kinds = [F.exists(F.col(f"base.{k}"), lambda b: _overlaps(b, F.col("s"))).cast("int").alias(f"is_{k}") for k in KINDS]
-    each = found.select("held", "base", F.explode("wide").alias("s")).select("held", "s", *(c.alias(k) for k, c in _feature_values(F.col("s")).items()), *kinds)
+    spans = found.select("held", "base", F.explode("wide").alias("s")).select("held", "s", *kinds).unionByName(_rewritten(found))
+    each = spans.select("held", "s", *is_, *(c.alias(k) for k, c in _feature_values(F.col("s")).items()))
     each = each.withColumn("harmless", _harmless(F.col("s"), {k: F.col(k) for k in names}).cast("int"))
     known = each.filter(F.greatest("harmless", *is_) > 0)
     counts = known.groupBy("held", *names, *is_).agg(F.count("*").alias("n")).collect()
@@ -247,12 +306,7 @@ def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[st
         is_kind = np.array([r[f"is_{kind}"] for r in counts], float)
         if not is_kind.any() or is_kind.all():
             continue
-        copies = _disguised(kind, rows[is_kind > 0], names)
-        x = np.concatenate((rows, *copies))
-        y = np.concatenate((is_kind, *(np.ones(len(c)) for c in copies)))
-        w = np.concatenate((n, *(n[is_kind > 0] for _ in copies)))
-        test = np.concatenate((held, *(held[is_kind > 0] for _ in copies)))
-        fit = ~test
+        x, y, w, test, fit = rows, is_kind, n, held, ~held
         if min(y[fit].sum(), (1 - y[fit]).sum(), y[test].sum()) == 0:  # too few documents to hold any out
             fit = test = np.ones(len(y), bool)
         trees, _ = boost(x[fit], y[fit], w[fit], names)
@@ -277,15 +331,22 @@ def _walked(trees: tuple, row: np.ndarray, names: list[str]) -> float:
 
 
 def all_spans(text: Column, models: dict[str, Trees]) -> Column:
-    """kind, start and end of all spans, by kind in the order of KINDS, then start. Chosen candidates that overlap a
-    base span of any kind are left out, and so are those that overlap an earlier chosen one."""
+    """kind, start and end of all spans, by kind in the order of KINDS, then start."""
+    return _let(_bases(text), lambda found: _with_added(text, found, models))
+
 
+def _bases(text: Column) -> Column:
     def of(kind: str) -> Callable[[Column], Column]:
         return lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
 
-    bases = F.concat(*(F.transform(c, of(k)) for k, c in base_spans(text).items()))
+    return F.concat(*(F.transform(c, of(k)) for k, c in base_spans(text).items()))
+
+
+def _with_added(text: Column, found: Column, models: dict[str, Trees]) -> Column:
+    """The spans found with those that the models add. Chosen candidates that overlap a base span of any kind are left
+    out, and so are those that overlap an earlier chosen one."""
     if not models:
-        return bases
+        return found
 
     def judged(s: Column) -> Column:
         def best(x: Column) -> Column:
@@ -296,14 +357,15 @@ def all_spans(text: Column, models: dict[str, Trees]) -> Column:
         features = F.struct(*(c.alias(k) for k, c in _feature_values(s).items()))
         return _let(_let(features, best), lambda b: F.struct((-b["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), b["over"].alias("over")))
 
-    def added(found: Column) -> Column:
-        free = F.filter(wide_spans(text), lambda s: ~F.exists(found, lambda b: _overlaps(b, s)))
-        chosen = F.array_sort(F.filter(F.transform(free, judged), lambda s: s["over"] >= 0), lambda a, b: (a["start"] - b["start"]).cast("int"))
-        none = F.expr("cast(array() as array<struct<kind: int, start: bigint, end: bigint>>)")
-        apart = F.aggregate(chosen, none, lambda acc, s: F.when(F.exists(acc, lambda b: _overlaps(b, s)), acc).otherwise(F.array_append(acc, F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
-        return F.array_sort(F.concat(found, apart))
+    kept = "struct<kind: int, start: bigint, end: bigint>"
+
+    def apart(end: Column, s: Column) -> Column:
+        free = s["start"] >= end
+        return F.struct(F.when(free, s["end"]).otherwise(end).alias("state"), F.when(free, F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("out"))
 
-    return _let(bases, added)
+    chosen = F.filter(F.transform(_free(wide_spans(text), found), judged), lambda s: s["over"] >= 0)
+    ordered = F.sort_array(F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.sort_array(F.concat(found, F.filter(_walk(ordered, kept, F.lit(0).cast("long"), apart), lambda s: s.isNotNull())))
 
 
 def find(df: DataFrame, models: dict[str, Trees], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -314,7 +376,8 @@ def find(df: DataFrame, models: dict[str, Trees], text: str = "text", keep: tupl
     than those of keep are left out. An empty table gives an empty one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.select(*keep, all_spans(t, {}).alias("base"), all_spans(t, models).alias("spans"))
+    rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), t.alias("t"), _bases(t).alias("base"))
+    return rows.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "base", _with_added(F.col("t"), F.col("base"), models).alias("spans"))
 
 
 def redact(df: DataFrame, models: dict[str, Trees], text: str = "text") -> DataFrame:
@@ -324,14 +387,27 @@ def redact(df: DataFrame, models: dict[str, Trees], text: str = "text") -> DataF
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
 
     def cutout(spans: Column) -> Column:
-        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+        def step(at: Column, s: Column) -> Column:
+            gap = F.struct(at.alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+            return F.struct(F.greatest(at, s["end"]).alias("state"), F.when(s["start"] >= at, gap).alias("out"))
+
+        def block(gaps: Column) -> Callable[[Column], Column]:
+            def joined(own: Column) -> Column:
+                first, last = F.element_at(own, 1)["start"], F.element_at(own, -1)["end"]
+
+                def cut(piece: Column) -> Column:
+                    return F.array_join(F.transform(own, lambda g: F.concat(F.substring(piece, (g["start"] - first).cast("int") + 1, (g["end"] - g["start"]).cast("int")), F.element_at(tags, g["kind"] + 1))), "")
+
+                return _let(F.substring(t, first.cast("int") + 1, (last - first).cast("int")), cut)
 
-        def step(acc: Column, s: Column) -> Column:
-            piece = F.concat(F.substring(t, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.element_at(tags, s["kind"] + 1))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.array_append(acc["out"], piece)).alias("out"))
+            return lambda j: _let(F.slice(gaps, j * _BLOCK + 1, _BLOCK), joined)
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-        return F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"].cast("int") + 1, F.length(t))))
+        gaps = F.filter(_walk(ordered, "struct<start: bigint, end: bigint, kind: int>", F.lit(0).cast("long"), step), lambda g: g.isNotNull())
+        pieces = _let(gaps, lambda g: F.transform(F.sequence(F.lit(0), F.floor((F.size(g) - 1) / _BLOCK).cast("int")), block(g)))
+        last = F.array_max(F.transform(spans, lambda s: s["end"])).cast("int")
+        return F.concat(F.array_join(pieces, ""), F.substring(t, last + 1, F.length(t)))
 
     return df.withColumn(text, _let(all_spans(t, models), lambda s: F.when(F.size(s) > 0, cutout(s)).otherwise(F.col(text))))
 
