@@ -7,6 +7,7 @@ from datetime import datetime
 
 import pytest
 
+from tidelens.operators import match
 from tidelens.sources import sources
 from tidelens.streaming import collector
 
@@ -39,11 +40,29 @@ def test_flushes(spark, tmp_path):
     assert sorted((r.mmsi, r.ts, r.lat, r.sog, r.cog, r.heading) for r in sink.positions().collect()) == [(5, at(0), 42.2, 3.0, None, None), (6, at(0), 43.0, None, None, None)]
     v = sink.vessels().first()
     assert (v.name, v.callsign, v.imo, v.length_m, v.width_m, v.first_seen, v.last_seen) == ("X", None, 9, 120.0, None, at(9), at(33))
-    sink.close(2, at(59))
+    sink.close(at(59))
     c = sink.coverage().first()
     assert (c.messages, c.started_at, c.last_message_at, c.ended_at) == (10, at(1), at(33), at(59))
 
 
+def test_ledger_of_two_runs(spark, tmp_path):
+    """A restart is a session of its own, the time between is not covered, and a close outlives later flushes."""
+    sink, day = collector.Collector(spark, str(tmp_path / "out")), lambda d, h=0: datetime(2026, 8, d, h)
+    assert sink.coverage().count() == 0
+    batch = lambda d: spark.createDataFrame([(1, day(d), report(5, 42.1))], LINES)
+    sink.open(day(1))
+    sink.flush(batch(1), 0)
+    sink.close(day(1, 1))
+    sink.close(day(1, 2))
+    again = collector.Collector(spark, str(tmp_path / "out"))
+    again.open(day(9))
+    again.flush(batch(9), 1)
+    again.flush(batch(9), 1)
+    assert sorted((r.started_at, r.last_message_at, r.ended_at, r.messages) for r in again.coverage().collect()) == [(day(1), day(1), day(1, 1), 1), (day(9), day(9), None, 1)]
+    asked = spark.createDataFrame([("in", day(1, 1)), ("gap", day(5)), ("second", day(9))], "detection_id string, ts timestamp")
+    assert sorted(r.detection_id for r in match.covered_by_ledger(asked, again.coverage()).collect()) == ["in", "second"]
+
+
 def test_stream_and_status(spark, tmp_path):
     spark.createDataFrame([(1, at(1), report(5, 42.1))], LINES).write.parquet(str(tmp_path / "in"))
     sink = collector.Collector(spark, str(tmp_path / "out"))

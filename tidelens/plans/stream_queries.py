@@ -71,3 +71,25 @@ def coverage_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of listening, told from gaps of an hour between reports."""
     found = collector.sessions_of(positions(spark, d))
     return found.select(F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "messages")
+
+
+_SESSIONS = "bounds as (select epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi from pos), told as (select ts, case when epoch_us(ts) <= lo + (hi - lo) // 3 then 0 when epoch_us(ts) >= hi - (hi - lo) // 3 then 1 end as session from pos, bounds)"
+
+
+@query(f"{with_views(POS, _SESSIONS)} select min(ts) as started_at, max(ts) as last_message_at, case when session = 0 then max(ts) end as ended_at, count(*) as messages from told where session is not null group by session")
+def coverage_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger of two runs with nobody listening between: the first has two flushes and is closed, the second is open."""
+    from tidelens.sources.folders import shared_folder
+
+    lines = _position_lines(spark, d)
+    t = F.unix_micros("arrived")
+    low, high = lines.agg(F.min(t), F.max(t)).first()
+    third = (high - low) // 3
+    first, second = lines.filter(t <= low + third), lines.filter(t >= high - third)
+    sink = collector.Collector(spark, f"{shared_folder(spark)}/collector-{uuid.uuid4().hex}")
+    for number in range(2):
+        sink.flush(first.filter(F.col("seq") % 2 == number), number)
+    sink.close(first.agg(F.max("arrived")).first()[0])
+    sink.flush(second, 2)
+    times = (F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "last_message_at", "ended_at"))
+    return sink.coverage().select(*times, "messages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -20,6 +21,8 @@ ENVELOPE = (
 POSITIONS = "mmsi bigint, ts timestamp, lat double, lon double, sog double, cog double, heading double, nav_status int"
 VESSELS = "mmsi bigint, name string, callsign string, imo bigint, ship_type int, length_m double, width_m double, first_seen timestamp, last_seen timestamp"
 LEDGER = "id string, started_at timestamp, last_message_at timestamp, ended_at timestamp, bboxes string, messages bigint, host string"
+EVENT = "started_at timestamp, last_message_at timestamp, ended_at timestamp, bboxes string, messages bigint, host string"
+EVENT_COLUMNS = tuple(c.split()[0] for c in EVENT.split(", "))
 # What the protocol sends for no value.
 NO_SOG, NO_COG, NO_HEADING = 102.3, 360, 511
 
@@ -82,7 +85,8 @@ def sessions_of(reports: DataFrame, gap_minutes: int = 60) -> DataFrame:
 class Collector:
     """Where a collector keeps its tables: folders of versions, so that a flush that is done again changes nothing.
 
-    positions/flush=N holds what flush N added; vessels/flush=N and coverage/flush=N hold the whole table after it.
+    positions/flush=N holds what flush N added; vessels/flush=N holds the whole table after it. coverage/session=S/event=E
+    holds what the session's opening, each of its flushes and its end tell of it; a session is one start of the collector.
     """
 
     spark: SparkSession
@@ -90,6 +94,7 @@ class Collector:
     host: str = "local"
     bboxes: str = "[]"
     keep_blank: bool = False
+    session: str | None = None
 
     def _read(self, table: str, schema: str, before: int, latest: bool) -> DataFrame:
         try:
@@ -113,7 +118,25 @@ class Collector:
         return self._read("vessels", VESSELS, 2**62, latest=True)
 
     def coverage(self) -> DataFrame:
-        return self._read("coverage", LEDGER, 2**62, latest=True)
+        """The ledger, one row for each session. What happens in one session changes no other, so times between two
+        sessions are not covered; a session that was never closed lasts up to its last message."""
+        try:
+            events = self.spark.read.schema(f"{EVENT}, session string, event string").parquet(f"{self.folder}/coverage")
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], LEDGER)
+        return events.groupBy(F.col("session").alias("id")).agg(F.min("started_at").alias("started_at"), F.max("last_message_at").alias("last_message_at"), F.min("ended_at").alias("ended_at"), F.max("bboxes").alias("bboxes"), F.sum("messages").alias("messages"), F.max("host").alias("host"))
+
+    def _tell(self, event: str, rows: DataFrame) -> None:
+        told = {"bboxes": F.lit(self.bboxes), "host": F.lit(self.host), "messages": F.lit(0).cast("bigint")} | {c: F.lit(None).cast("timestamp") for c in ("started_at", "last_message_at", "ended_at")}
+        rows.select(*(F.col(c) if c in rows.columns else told[c].alias(c) for c in EVENT_COLUMNS)).write.mode("overwrite").parquet(f"{self.folder}/coverage/session={self.session}/event={event}")
+
+    def open(self, started_at: datetime | None = None) -> str:
+        """Begins a session of its own and returns its id."""
+        self.session = f"s-{uuid.uuid4().hex}"
+        self._tell("open", self.spark.range(1).select(F.lit(started_at or datetime.now(timezone.utc)).alias("started_at")))
+        return self.session
 
     def flush(self, batch: DataFrame, number: int) -> None:
         """One flush: the last message of each vessel and minute, the last record of each vessel; what the archive has
@@ -133,20 +156,27 @@ class Collector:
             batch.unpersist()
 
     def _touch(self, batch: DataFrame, number: int) -> None:
-        """The ledger with this run's session extended: messages count every line, also those that cannot be read."""
-        seen = batch.agg(F.count("*").alias("messages"), F.min("arrived").alias("started_at"), F.max("arrived").alias("last_message_at")).withColumn("id", F.lit(self.folder))
-        old = self._read("coverage", LEDGER, number, latest=True)
-        joined = old.alias("o").join(seen.alias("n"), "id", "full")
-        self._write(joined.select("id", F.least("o.started_at", "n.started_at").alias("started_at"), F.greatest("o.last_message_at", "n.last_message_at").alias("last_message_at"), F.col("o.ended_at").alias("ended_at"), F.lit(self.bboxes).alias("bboxes"), (F.coalesce("o.messages", F.lit(0)) + F.coalesce("n.messages", F.lit(0))).alias("messages"), F.lit(self.host).alias("host")), "coverage", number)
-
-    def close(self, number: int, ended_at: datetime | None = None) -> None:
-        """The ledger after the session's end; the message count stays."""
-        ended = F.lit(ended_at or datetime.now(timezone.utc))
-        self._write(self._read("coverage", LEDGER, number, latest=True).withColumn("ended_at", F.when(F.col("id") == self.folder, ended).otherwise(F.col("ended_at"))), "coverage", number)
+        """What a flush tells of the session: messages count every line, also those that cannot be read. A flush that is
+        done again tells the same again."""
+        self.session = self.session or f"s-{uuid.uuid4().hex}"
+        self._tell(f"flush-{number}", batch.agg(F.count("*").alias("messages"), F.min("arrived").alias("started_at"), F.max("arrived").alias("last_message_at")))
+
+    def close(self, ended_at: datetime | None = None) -> None:
+        """The session's end; what comes later belongs to another. Without a session there is nothing to close."""
+        if self.session is not None:
+            self._tell("close", self.spark.range(1).select(F.lit(ended_at or datetime.now(timezone.utc)).alias("ended_at")))
+            self.session = None
+
+    def stop(self, q: StreamingQuery) -> None:
+        """Stops the stream after the flush that is under way, and closes its session."""
+        q.stop()
+        self.close()
 
     def start(self, raw: DataFrame, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
         """Runs on a stream with column value, and arrived (else now) and seq (else arrival) if it has them. every: the
-        time between flushes; None takes what is there and ends. Stop and start again with the same checkpoint."""
+        time between flushes; None takes what is there and ends. Each start is a session of the ledger. Stop and start again
+        with the same checkpoint."""
+        self.open()
         rows = raw if "arrived" in raw.columns else raw.withColumn("arrived", F.current_timestamp())
         rows = rows if "seq" in rows.columns else rows.withColumn("seq", F.monotonically_increasing_id())
         writer = rows.select("value", "arrived", "seq").writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.flush)
