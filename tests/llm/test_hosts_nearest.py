@@ -41,8 +41,8 @@ def test_reputation(spark):
 
 
 def test_suffixes_of_two_labels(spark):
-    row = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("com",)], "h string").select(hosts.domain_of(hosts.F.col("h"), ("co.uk",)).alias("d"), hosts.suffix_of(hosts.F.col("h"), ("co.uk",)).alias("s")).collect()
-    assert [tuple(r) for r in row] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("com", "com")]
+    row = spark.createDataFrame([("a.b.co.uk",), ("x.com",), ("com",), ("1.2.3.4",)], "h string").select(hosts.domain_of(hosts.F.col("h"), ("co.uk",)).alias("d"), hosts.suffix_of(hosts.F.col("h"), ("co.uk",)).alias("s")).collect()
+    assert [tuple(r) for r in row] == [("b.co.uk", "co.uk"), ("x.com", "com"), ("com", "com"), ("1.2.3.4", "1.2.3.4")]
 
 
 def brute(rows, asked, k):

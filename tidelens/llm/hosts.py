@@ -22,9 +22,11 @@ def path_of(url: Column) -> Column:
 
 
 def _labels(host: Column, n: int, suffixes: tuple[str, ...]) -> Column:
-    """The last n labels of a host, one more if its suffix has two."""
+    """The last n labels of a host, one more if its suffix has two; the whole host if it is a bare address of numbers."""
     last = F.substring_index(host, ".", -n)
-    return F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -n - 1)).otherwise(last) if suffixes else last
+    if suffixes:
+        last = F.when(F.substring_index(host, ".", -2).isin(*suffixes), F.substring_index(host, ".", -n - 1)).otherwise(last)
+    return F.when(host.rlike("^[0-9.]+$"), host).otherwise(last)
 
 
 def domain_of(host: Column, suffixes: tuple[str, ...] = ()) -> Column:

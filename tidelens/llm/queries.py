@@ -49,10 +49,14 @@ def op4_boosted_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
 
+# Public suffixes of two labels that hosts are registered under.
+SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+
+
 def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcome of a page is the quality label of its id."""
+    """The outcome of a page is the quality label of its id; bound is what the method judges a page by that no rule fits."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return hosts.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return hosts.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, suffixes=SUFFIXES).select("page_id", "host", "path", "rule", "verdict", F.round("bound", 6).alias("bound"))
 
 
 def op5_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +127,20 @@ def _shrunk_level(own: str, children: str, mean: str) -> str:
         from {children} where n > 0) as {own})"""
 
 
+def _labels_sql(n: int) -> str:
+    """The last n labels of a host, one more if its suffix has two; a bare address whole."""
+    last = lambda k: f"array_to_string(string_split(host, '.')[-{k}:], '.')"
+    two = ", ".join(f"'{s}'" for s in SUFFIXES)
+    return f"case when regexp_full_match(host, '[0-9.]+') then host when {last(2)} in ({two}) then {last(n + 1)} else {last(n)} end"
+
+
 _OP3_SQL = f"""
 with base as (
     select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
 known as (select doc_id as page_id, max(1 - quality) as bad from labels where doc_id is not null and quality in (0, 1) group by doc_id),
 hosts as (
-    select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, array_to_string(string_split(host, '.')[-1:], '.') as suffix,
+    select host, {_labels_sql(2)} as domain, {_labels_sql(1)} as suffix,
         cast(count(bad) as double) as n, cast(coalesce(sum(bad), 0) as double) as bad
     from base left join known using (page_id) group by host),
 domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by domain, suffix),
@@ -142,7 +153,7 @@ found as (
     select host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + m + 1)) as bound
     from (select host, n, m, (bad + m * up) / (n + m) as mean from hosts_up, (select {_shrunk_level("c", "hosts_up", "up")} as m) as x) as y),
 judged as (select page_id, host, path, case {_RULE_CASES.replace("{", "").replace("}", "")} end as rule, bound from base join found using (host))
-select page_id, host, path, rule, case rule {" ".join(f"when '{r}' then '{v}'" for r, v in URL_RULES.items())} else case when bound > 0.5 then 'block' else 'allow' end end as verdict
+select page_id, host, path, rule, case rule {" ".join(f"when '{r}' then '{v}'" for r, v in URL_RULES.items())} else case when bound > 0.5 then 'block' else 'allow' end end as verdict, round(bound, 6) as bound
 from judged
 """
 
