@@ -46,11 +46,12 @@ def test_suffixes_of_two_labels(spark):
 
 
 def brute(rows, asked, k):
-    out = set()
+    out = []
     for q, v in asked:
-        scored = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)[:k]
-        out |= {(q, place + 1, i, -s) for place, (s, i) in enumerate(scored)}
-    return out
+        scored = [(-int(np.dot(v, w)), i) for i, w in rows]
+        scored.remove((-int(np.dot(v, v)), q))
+        out += [(q, place + 1, i, -s) for place, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize(("n", "shard", "block"), [(600, 150, 5), (600, 4096, 4096), (4, 2, 1), (1, 10, 10)])
@@ -60,7 +61,7 @@ def test_top_k(spark, n, shard, block):
     rows += [(1000 + i, [1.0, 2.0, 3.0, -1.0, 0.0]) for i in range(300 if n > 100 else 0)]
     asked = [r for r in rows if r[0] % 50 == 0]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
-    found = {tuple(r) for r in nearest.top_k(df, df.filter("vec_id % 50 = 0"), 5, shard, block).collect()}
+    found = sorted(tuple(r) for r in nearest.top_k(df, df.filter("vec_id % 50 = 0"), 5, shard, block).collect())
     assert found == brute([(i, np.array(v)) for i, v in rows], asked, 5)
 
 
@@ -82,3 +83,34 @@ def test_vectors_that_take_no_part(spark):
     found = {(r.query_id, r.rank): r for r in nearest.top_k(df, df.filter("vec_id = 0"), 5).collect()}
     assert {k: (r.vec_id) for k, r in found.items()} == {(0, 1): 7, (0, 2): 1}
     assert nearest.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = [(50, [1.0, 0.0]), (50, [2.0, 0.0]), (7, [1.0, 1.0]), (100, [3.0, 1.0]), (100, [3.0, 1.0]), *((9, [5.0, 5.0]) for _ in range(8))]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = sorted(tuple(r) for r in nearest.top_k(df, df.filter("vec_id % 50 = 0"), 3, 2, 1).collect())
+    assert found == brute([(i, np.array(v)) for i, v in rows], [(i, np.array(v)) for i, v in rows if i % 50 == 0], 3)
+
+
+def test_cells_out_of_reach():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 1000
+    v = np.floor(np.repeat(centres, 100, 0) + rng.normal(size=(4000, 8)) * 5)
+    cells = nearest.Cells(v[::3].tolist(), 40)
+    own = cells.of(v)
+    cells.know({8: {int(c): (v[own == c].min(0).tolist(), v[own == c].max(0).tolist()) for c in np.unique(own)}})
+    q = v[::50]
+    scores = q @ v.T
+    fifth = np.sort(scores, 1)[:, -5]
+    known, most = cells.bounds(q)
+    for row, bound, kth in zip(scores, most, fifth, strict=True):
+        reach = set(known[bound >= kth].tolist())
+        assert set(own[row >= kth].tolist()) <= reach and len(reach) < cells.count / 4
+
+
+def test_one_vector_for_a_third_of_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-9, 9)) for _ in range(4)]) for i in range(400)] + [(1000 + i, [7.0, 1.0, 0.0, 2.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = sorted(tuple(r) for r in nearest.top_k(df, df.filter("vec_id % 50 = 0"), 5, 40, 3).collect())
+    assert found == brute([(i, np.array(v)) for i, v in rows], [(i, np.array(v)) for i, v in rows if i % 50 == 0], 5)
