@@ -235,8 +235,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     Equal rows become one with a number of copies. Space is split at medians of a sample (64 rows a cell, most_cells
     cells: all that the driver sees of vectors are the sample and the boxes of the cells); every vector is in one cell,
-    and a cell is dealt by hash into shards of about shard_rows. Queries form blocks of about block_rows by the cell that
-    promises them most. A task builds the tree of one shard and searches it for one block, so its memory is bounded by
+    and a cell is dealt by hash into shards of about shard_rows. Queries form blocks of about block_rows, those of cells
+    next to each other together, by the cell that promises them most. A task builds the tree of one shard and searches it for one block, so its memory is bounded by
     the two. First each query searches one shard of its own cell: the kth score there is what the others have to reach,
     and only shards of cells whose box can reach it are visited.
     """
@@ -259,15 +259,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         high.append(r.high)
         parts[r.cell] = max(1, math.ceil(r.n / shard_rows))
     cells.know(boxes)
-    parts_of = F.create_map(*(F.lit(x).cast("long") for pair in parts.items() for x in pair))
+    numbers = lambda of: F.create_map(*(F.lit(x).cast("long") for pair in (of or {-2: 1}).items() for x in pair))
+    parts_of = numbers(parts)
     points = points.withColumn("sub", F.pmod(hashed, parts_of[F.col("cell")]))
 
     asked = queries.groupBy(F.col("vec_id").alias("query_id"), "v").agg(F.count("*").alias("times")).withColumn("size", F.size("v")).withColumn("q", F.monotonically_increasing_id())
     asked = cut(_with_cell(asked, cells, home=True))
-    blocks = {r.cell: max(1, math.ceil(r["count"] / block_rows)) for r in asked.groupBy("cell").count().collect()}
-    blocks_of = F.create_map(*(F.lit(x).cast("long") for pair in (blocks | {-2: 1}).items() for x in pair))
-    spread = F.xxhash64("q", F.lit(1))
-    block = F.struct("cell", F.pmod(spread, blocks_of[F.col("cell")]).alias("part"))
+    group, total, groups = 0, {}, {}
+    for r in sorted(asked.groupBy("cell").count().collect(), key=lambda r: r.cell):  # cells next to each other share a block
+        group += total.get(group, 0) > 0 and total[group] + r["count"] > block_rows
+        groups[r.cell], total[group] = group, total.get(group, 0) + r["count"]
+    block_parts = numbers({c: max(1, math.ceil(total[g] / block_rows)) for c, g in groups.items()})[F.col("cell")]
+    block = F.struct(numbers(groups)[F.col("cell")].alias("group"), F.pmod(F.xxhash64("q", F.lit(1)), block_parts).alias("part"))
     asked = asked.withColumn("block", block).withColumn("home", F.pmod(F.hash(block), parts_of[F.col("cell")]))
 
     def searched(asked: DataFrame) -> DataFrame:

@@ -159,13 +159,13 @@ from judged
 
 _OP5_SQL = """
 with whole as (
-    select row_number() over () as at, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    select row_number() over () as nth, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
     where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
-    select q.at, q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-    from whole q join whole c on q.at <> c.at and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+    select q.nth, q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+    from whole q join whole c on q.nth <> c.nth and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by at order by score desc, vec_id) as rank from scored) as r where rank <= 5
+from (select *, row_number() over (partition by nth order by score desc, vec_id) as rank from scored) as r where rank <= 5
 """
 
 
