@@ -28,8 +28,10 @@ NO_SOG, NO_COG, NO_HEADING = 102.3, 360, 511
 
 
 def messages(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Adds m, the envelope; lines that are no JSON and envelopes without MetaData are dropped without a word."""
-    parsed = raw.withColumn("m", F.from_json(F.col(value), ENVELOPE, {"mode": "PERMISSIVE"}))
+    """Adds m, the envelope; lines that are no JSON and envelopes without MetaData are dropped without a word. The
+    explode of one element keeps the optimizer from parsing a line again for each condition and column."""
+    envelope = F.from_json(F.col(value), ENVELOPE, {"mode": "PERMISSIVE"})
+    parsed = raw.select(*raw.columns, F.explode(F.array(envelope)).alias("m"))
     return parsed.filter(F.col("m.MetaData").isNotNull() & F.col("m.MetaData.MMSI").isNotNull()).drop(value)
 
 
