@@ -72,3 +72,16 @@ def test_texts(spark):
 def test_footprint_maps(spark):
     maps = spark.createDataFrame([('{"a": [[1, 2]], "b": null}',), ("no json",)], "content string")
     assert [(r.name, r.corners) for r in scenes.explode_footprints(maps).collect()] == [("a", [[1.0, 2.0]])]
+
+
+@pytest.mark.parametrize("session", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_archive_stamps_in_any_session(spark, session):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        stamps = spark.createDataFrame([("01/01/2024 9:05",), ("15/07/2024 23:59",), ("15/07/2024 23:59 ",), ("x",), (None,)], "s string")
+        parsed = stamps.select(text.parse_archive_stamp(F.col("s"), "Europe/Sofia").alias("t"))
+        found = parsed.select(F.unix_seconds("t").alias("t"), text.format_archive_stamp(F.col("t"), "Europe/Sofia").alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [tuple(r) for r in found] == [(1704092700, "01/01/2024 09:05"), (1721077140, "15/07/2024 23:59"), (None, None), (None, None), (None, None)]

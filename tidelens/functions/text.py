@@ -145,12 +145,18 @@ def safe_name(name: Column) -> Column:
 
 
 def parse_archive_stamp(text: Column, zone: str = "UTC") -> Column:
-    """The instant of an archive's day-first stamp, hours of one digit or two, in the archive's zone."""
-    return F.to_utc_timestamp(F.try_to_timestamp(text, F.lit(ARCHIVE_STAMP)), zone)
+    """The instant of an archive's day-first stamp, hours of one digit or two, in the archive's zone, whatever the
+    session's zone."""
+    wall = F.try_to_timestamp(F.concat(text, F.lit("+00:00")), F.lit(ARCHIVE_STAMP + "XXX"))
+    return F.to_utc_timestamp(wall, zone)
 
 
 def format_archive_stamp(ts: Column, zone: str = "UTC") -> Column:
-    return F.date_format(F.from_utc_timestamp(ts, zone), "dd/MM/yyyy HH:mm")
+    """The stamp of an instant in the archive's zone. The session's zone has no part in it, but for hours that it skips
+    where its clocks go forward."""
+    seconds = (F.unix_micros(F.from_utc_timestamp(ts, zone)).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
+    wall = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.date_format(wall, "dd/MM/yyyy HH:mm")
 
 
 def lenient_double(text: Column) -> Column:
