@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,17 @@ class Scratch:
             kept[2] = table.count()
         return kept[2]
 
+    def gathered(self, table: DataFrame, most: int) -> DataFrame:
+        """A kept table, to be read by one task if it is that small: grouping and joining it then needs no shuffle, whose
+        hundreds of tasks would have next to no rows each."""
+        return table.coalesce(1) if self.rows(table) <= most else table
+
+    def collect_garbage(self) -> None:
+        """Spark frees shuffle files, broadcasts and plans of steps that are done when the driver's garbage is collected,
+        which a loop of many small jobs may not see for long."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             delete(self.spark, self._tables.pop(id(table))[1])
