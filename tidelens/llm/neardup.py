@@ -21,7 +21,7 @@ TOKENS = 256
 TREE_TOKENS = 21
 #: Documents of one block of a node that stays large.
 BLOCK = 1536
-#: Rows of a lookup table that is broadcast at most (some 2 MB); larger ones are joined by a shuffle.
+#: Rows of a table that is broadcast, or worked on by one task, at most (some 2 MB, 12 MB with sketches); larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 _SKETCH = ("s0", "s1", "s2", "s3")
 
@@ -199,23 +199,28 @@ def search(sets: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scr
         rows = _children(at, extra)
         nodes = scratch.keep(rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("rep", "size", *_SKETCH)).alias("p")).filter("n > 1").drop("n"))
         met = scratch.keep(rows.alias("r").join(nodes, "node").select("node", "r.rep", "r.size", *(f"r.{s}" for s in _SKETCH), "t", F.col("p.rep").alias("pivot"), F.when((F.col("p.rep") != F.col("r.rep")) & _near("p", "r", most_bits), _bits("p", "r")).alias("bits")))
-        closest = met.filter("bits is not null").groupBy("rep").agg(F.min(F.struct("bits", "pivot"))["pivot"].alias("a")).select("a", F.col("rep").alias("b"))
+        here = scratch.gathered(met, BROADCAST_ROWS)
+        closest = here.filter("bits is not null").groupBy("rep").agg(F.min(F.struct("bits", "pivot"))["pivot"].alias("a")).select("a", F.col("rep").alias("b"))
         pairs = scratch.keep(_looked_up(_looked_up(closest, roots, "a", "a_root", scratch), roots, "b", "b_root", scratch).filter("a_root <> b_root"))
         if scratch.rows(pairs):
             whole = scratch.keep(full(_small(_ends(pairs), 2 * scratch.rows(pairs))))
             found = _confirmed(_small(pairs, scratch.rows(pairs)), whole, percent)
             roots = _contracted(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), roots, scratch)
             scratch.drop(whole)
-        parts = _looked_up(met.select("node", "rep"), roots, "rep", "root", scratch).groupBy("node", "root").agg(F.count("*").alias("n"))
+        parts = _looked_up(here.select("node", "rep"), roots, "rep", "root", scratch).groupBy("node", "root").agg(F.count("*").alias("n"))
         open_ = scratch.keep(parts.groupBy("node").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 0"))
         large = (F.col("others") > most * min(2 ** (depth - 1), 8)) & F.lit(depth < levels)
-        left = scratch.keep(met.drop("pivot", "bits").join(open_.withColumn("large", large).drop("others"), "node"))
+        left = scratch.keep(here.drop("pivot", "bits").join(open_.withColumn("large", large).drop("others"), "node"))
         scratch.drop(nodes, met, pairs, open_)
+        scratch.collect_garbage()
         kept.append(left)
         leaves.append(left.filter("not large").drop("t", "large"))
         at = left.filter("large").drop("large")
-        if at.isEmpty():
+        n = at.count()
+        if not n:
             break
+        if n <= BROADCAST_ROWS:
+            at = at.coalesce(1)
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
@@ -317,9 +322,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
     """
     known = None
     while scratch.rows(edges):
-        hooks = scratch.keep(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        near = scratch.gathered(edges, BROADCAST_ROWS)
+        hooks = scratch.keep(near.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:
-            jumped = _looked_up(hooks.select("node", F.col("root").alias("was")), hooks, "was", "root", scratch)
+            jumped = _looked_up(scratch.gathered(hooks, BROADCAST_ROWS).select("node", F.col("root").alias("was")), hooks, "was", "root", scratch)
             hooks = scratch.keep(jumped)
             if hooks.filter("root <> was").isEmpty():
                 break
@@ -330,7 +336,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame | None:
             known = scratch.keep(moved.select("node", "root").unionByName(hooks.select("node", "root")))
         if scratch.rows(hooks) == scratch.rows(edges):  # every edge is a hook, and so within a component now
             return known
-        ends = _looked_up(_looked_up(edges, hooks, "a", "x", scratch), hooks, "b", "y", scratch).filter("x <> y")
+        ends = _looked_up(_looked_up(near, hooks, "a", "x", scratch), hooks, "b", "y", scratch).filter("x <> y")
         edges = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return known
 
