@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, packing, private, quality
+from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, packing, private, quality, tokencount
 from tidelens.llm.common import crc32_of_id, table
+from tidelens.sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +100,14 @@ def op10_bitmap_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every text that is there is counted in this run."""
+    import public_tokenizers
+
+    cache = tokencount.Cache(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_content_lines": op1_content_lines,
@@ -110,6 +120,7 @@ def queries() -> dict[str, Query]:
         "op7_power_of_two_packing": op7_power_of_two_packing,
         "op9_prefix_target_chat": op9_prefix_target_chat,
         "op10_bitmap_queue_bpe": op10_bitmap_queue_bpe,
+        "op11_digest_cache_counts": op11_digest_cache_counts,
     }
 
 
