@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, packing, private, quality, tokencount
+from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, packing, private, quality, tokencount, variants
 from tidelens.llm.common import crc32_of_id, table
 from tidelens.sources.folders import shared_folder
 
@@ -108,6 +108,10 @@ def op11_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
+def op12_automaton_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_content_lines": op1_content_lines,
@@ -121,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op9_prefix_target_chat": op9_prefix_target_chat,
         "op10_bitmap_queue_bpe": op10_bitmap_queue_bpe,
         "op11_digest_cache_counts": op11_digest_cache_counts,
+        "op12_automaton_variants": op12_automaton_variants,
     }
 
 
