@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, packing, private, quality, tokencount, variants
+from tidelens.llm import bpe, chat, hosts, language, lines, nearest, neardup, negatives, packing, private, quality, tokencount, variants
 from tidelens.llm.common import crc32_of_id, table
 from tidelens.sources.folders import shared_folder
 
@@ -112,6 +112,12 @@ def op12_automaton_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_voronoi_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    vectors = negatives.labelled(rows)
+    return negatives.hard_negatives(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_content_lines": op1_content_lines,
@@ -126,6 +132,7 @@ def queries() -> dict[str, Query]:
         "op10_bitmap_queue_bpe": op10_bitmap_queue_bpe,
         "op11_digest_cache_counts": op11_digest_cache_counts,
         "op12_automaton_variants": op12_automaton_variants,
+        "op13_voronoi_hard_negatives": op13_voronoi_hard_negatives,
     }
 
 
@@ -185,5 +192,22 @@ from (select *, row_number() over (partition by nth order by score desc, vec_id)
 """
 
 
+_OP13_SQL = """
+with whole as (
+    select row_number() over () as nth, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select q.nth, q.vec_id as anchor_id, c.vec_id as vec_id, q.label = c.label as same, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+    from whole q join whole c on q.nth <> c.nth and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
+liked as (
+    select * from (select *, row_number() over (partition by nth order by score desc, vec_id) as place from scored where same) as r where place <= 5),
+hard as (
+    select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, n.vec_id as negative_id, n.score as negative_score,
+        row_number() over (partition by p.nth, p.place order by n.score desc, n.vec_id) as rank
+    from liked p join scored n on p.nth = n.nth and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from hard where rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_reputation": _OP3_SQL, "op5_kd_tree_top_k": _OP5_SQL}
+    return {"op3_host_reputation": _OP3_SQL, "op5_kd_tree_top_k": _OP5_SQL, "op13_voronoi_hard_negatives": _OP13_SQL}
