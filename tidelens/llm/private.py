@@ -6,6 +6,7 @@ vectors, whose number the features' ranges bound.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,11 +23,15 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_FITS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-#: The wide generators: addresses written out or spaced, and any run of digits with separators.
+#: The wide generators: addresses written out or spaced, addresses in words, any run of digits with separators, and four
+#: small numbers with dots of any writing between them.
 _WIDE_EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)*+"
-_WIDE_NUMBER = r"[+(]{0,2}[0-9](?:[\x20().-]{0,2}[0-9])++"
+_WORD_EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++(?: dot [{_LOCAL}]++){{0,6}}+ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++){{1,6}}+"
+_WIDE_NUMBER = r"[+(]{0,2}[0-9](?:(?: - |[\x20()./-]{0,2})[0-9])++"
+_DOT = r" ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?| dot | \. "
+_WIDE_IP = rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])"
 #: One group of many digits in a longer number, as where two cards stand side by side.
-_GROUP = r"(?<![0-9])[0-9]{13,19}(?=[\x20().-]{1,2}[0-9])|(?<=[0-9][\x20().-]|[0-9][\x20().-][\x20().-])[0-9]{13,19}(?![0-9])"
+_GROUP = r"(?<![0-9])[0-9]{13,19}(?=[\x20()./-]{1,2}[0-9])|(?<=[0-9][\x20()./-]|[0-9][\x20()./-][\x20()./-])[0-9]{13,19}(?![0-9])"
 _CONTEXT = {
     "email": "(?i)(?:e-?mail|contact|write|reach)[^\n]*$",
     "ip": r"(?i)\b(?:ip|server|login|logged|addr(?:ess)?)\b[^\n]*$",
@@ -34,13 +39,16 @@ _CONTEXT = {
     "phone": r"(?i)(?:phone|\btel\b|\bcall\b|\bfax\b|mobile|\bcell\b|whatsapp)[^\n]*$",
 }
 #: An address with a domain: a dot of any writing, and letters, after the at.
-_DOMAIN = r"(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:\.| \. | ?[\[(]dot[\])] ?)[A-Za-z0-9-]*[A-Za-z]"
-#: Numbers that are no personal data: dates, and bare, decimal and version numbers.
+_DOMAIN = r"(?:@|\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?:\.| \. | ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]*[A-Za-z]"
+#: Numbers that are none of the kinds: dates, numbers of three, two and four digits, and bare, decimal and version numbers.
+_SOCIAL = r"^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$"
 _DATE = r"^(?:(?:19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]|[0-3]?[0-9][-./ ][0-3]?[0-9][-./ ](?:19|20)[0-9]{2})(?: [0-9]{1,2})?$"
 _VERSION = r"^[0-9]+(?:\.[0-9]+)*$"
 _DOTTED_PHONE = r"^(?:[0-9]{1,3}\.)?[0-9]{3}\.[0-9]{3}\.[0-9]{4}$"
 #: Of each feature the largest value; larger ones count as it.
-FEATURES = {"at": 1, "domain": 1, "digits": 24, "groups": 6, "first": 6, "last": 6, "dots": 4, "dashes": 3, "brackets": 1, "plus": 1, "luhn": 1, "bytes": 1, "spelled": 1, "spaced": 1, "said_email": 1, "said_ip": 1, "said_card": 1, "said_phone": 1}
+FEATURES = {"at": 1, "domain": 1, "digits": 24, "groups": 6, "first": 6, "last": 6, "dots": 4, "dashes": 3, "slashes": 3, "brackets": 1, "plus": 1, "zero": 2, "luhn": 1, "bytes": 1, "date": 1, "social": 1, "spelled": 1, "spaced": 1, "said_email": 1, "said_ip": 1, "said_card": 1, "said_phone": 1}
+#: Parts of the documents that trees are calibrated on, each by trees that are fitted on the others.
+FOLDS = 5
 _CONTEXT_CHARS = 32
 
 
@@ -134,35 +142,43 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def wide_spans(text: Column) -> Column:
     """All candidates, which may overlap: addresses of any writing, numbers of seven digits or more that do not touch a
-    letter, and long groups of digits inside such numbers."""
+    letter, long groups of digits inside such numbers, and four small numbers with dots of any writing."""
     maybe = F.contains(text, F.lit("@")) | F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)"))
     emails = F.when(maybe, matches(text, _WIDE_EMAIL)).otherwise(_no_spans())
+    words = F.when(F.contains(text, F.lit(" dot ")), matches(text, _WORD_EMAIL)).otherwise(_no_spans())
     numbers = F.filter(matches(text, _WIDE_NUMBER), lambda s: (F.length(_digits(s["m"])) >= 7) & ~s["before"].rlike(r"[\p{L}_]$") & ~s["after"].rlike(r"^[\p{L}_@]"))
-    return F.concat(emails, numbers, matches(text, _GROUP))
+    spelled = text.rlike(r"[0-9](?: ?[\[(](?:\.|dot)[\])] ?| \. | dot )[0-9]")
+    ips = F.when(spelled, F.filter(matches(text, _WIDE_IP), lambda s: ~s["m"].rlike(r"^[0-9.]+$") & ~s["before"].rlike(r"[\p{L}_]$") & ~s["after"].rlike(r"^[\p{L}_@]"))).otherwise(_no_spans())
+    return F.concat(emails, words, numbers, matches(text, _GROUP), ips)
 
 
 def _feature_values(s: Column) -> dict[str, Column]:
     m = s["m"]
     digits, dots = _digits(m), F.regexp_replace(m, "[^.]", "")
     flag = lambda c: c.cast("int")
-    at = m.rlike(r"@|\[at\]|\(at\)")
+    at = m.rlike(r"@|\[at\]|\(at\)| at ")
+    first = F.regexp_extract(m, "[0-9]+", 0)
     values = {
         "at": flag(at),
         "domain": flag(m.rlike(_DOMAIN)),
         "digits": F.length(digits),
         "groups": F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), 0)),
-        "first": F.length(F.regexp_extract(m, "[0-9]+", 0)),
+        "first": F.length(first),
         "last": F.length(F.regexp_extract(m, "([0-9]+)[^0-9]*$", 1)),
         "dots": F.length(dots),
         "dashes": F.length(F.regexp_replace(m, "[^-]", "")),
+        "slashes": F.length(F.regexp_replace(m, "[^/]", "")),
         "brackets": flag(m.rlike("[()]")),
         "plus": flag(F.startswith(m, F.lit("+"))),
-        "luhn": flag(F.when(at | ~F.length(digits).between(12, 19), False).otherwise(luhn(digits))),
-        "bytes": flag(m.rlike(_IP_FITS)),
-        "spelled": flag(m.rlike(r"[\[(](?:at|dot)[\])]")),
+        "zero": flag(F.startswith(first, F.lit("0"))) + flag(F.startswith(first, F.lit("00"))),
+        "luhn": flag(F.when(at | ~F.length(digits).between(16, 19), False).otherwise(luhn(digits))),
+        "bytes": flag(F.regexp_replace(m, _DOT, ".").rlike(_IP_FITS)),
+        "date": flag(m.rlike(_DATE)),
+        "social": flag(m.rlike(_SOCIAL)),
+        "spelled": flag(m.rlike(r"[\[(](?:at|dot|\.)[\])]| dot ")),
         "spaced": flag(m.rlike(r" ?@ | @")),
     }
-    for k in ("digits", "groups", "first", "last", "dashes"):  # digits of a name say nothing about an address
+    for k in ("digits", "groups", "first", "last", "dashes", "zero"):  # digits of a name say nothing about an address
         values[k] = F.when(at, 0).otherwise(values[k])
     values |= {f"said_{k}": flag(s["before"].rlike(_CONTEXT[k])) for k in KINDS}
     return {k: F.least(values[k], F.lit(FEATURES[k])) for k in FEATURES}
@@ -185,7 +201,7 @@ class Trees:
         return total
 
 
-def boost(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 12, depth: int = 3, rate: float = 0.4, decay: float = 1.0) -> tuple[tuple, np.ndarray]:
+def boost(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 30, depth: int = 4, rate: float = 0.4, decay: float = 0.1) -> tuple[tuple, np.ndarray]:
     """Gradient boosting for the logistic loss with second-order leaf values, on weighted rows of small whole numbers;
     also the rows' scores."""
     total = float(weight.sum())
@@ -218,11 +234,12 @@ def boost(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, names: list[s
 
 
 def _harmless(s: Column, x: dict[str, Column]) -> Column:
-    """Whether a candidate is known to be no personal data: an at without a domain; a date; a bare, decimal or version
-    number that is no address, card or phone number by its form and of which the text before it does not speak."""
+    """Whether a candidate is known to be of no kind: an at without a domain; a date; a number of three, two and four
+    digits; a bare, decimal or version number that is no address, card or phone number by its form. Of the last only
+    those of which the text before does not speak; the others are so whatever it says."""
     said = sum((x[f"said_{k}"] for k in KINDS), F.lit(0)) > 0
     version = s["m"].rlike(_VERSION) & ~s["m"].rlike(_DOTTED_PHONE) & (x["bytes"] == 0) & (x["luhn"] == 0)
-    return F.when(x["at"] == 1, x["domain"] == 0).otherwise(~said & (s["m"].rlike(_DATE) | version))
+    return F.when(x["at"] == 1, x["domain"] == 0).otherwise((x["date"] == 1) | (x["social"] == 1) | (~said & version))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -253,73 +270,106 @@ def _free(wide: Column, found: Column) -> Column:
 
 
 def _disguised(kind: int, m: Column) -> Column:
-    """Other writings of a span: an address spelled out, in brackets or with spaces; a card with dots; a phone number
-    without its plus sign, or without its country code too."""
+    """Other writings of a span: an address spelled out in brackets or words, or with spaces; numbers of an address with other dots; a card
+    with dots or dashes; a phone number without its plus sign, with zeros for it, or without its country code."""
     if KINDS[kind] == "email":
         spelled = F.regexp_replace(F.regexp_replace(m, "@", " [at] "), r"\.", " [dot] ")
-        return F.array(spelled, F.regexp_replace(m, "@", "(at)"), F.regexp_replace(m, "@", " @ "))
+        worded = F.regexp_replace(F.regexp_replace(m, "@", " at "), r"\.", " dot ")
+        return F.array(spelled, worded, F.regexp_replace(m, "@", "(at)"), F.regexp_replace(m, "@", " @ "))
+    if KINDS[kind] == "ip":
+        return F.array(*(F.regexp_replace(m, r"\.", dot) for dot in ("[.]", "(dot)", " . ", " dot ")))
     if KINDS[kind] == "card":
-        return F.array(F.regexp_replace(_digits(m), "(.{4})(?=.)", "$1."), F.regexp_replace(_digits(m), "(.{4})(?=.)", "$1 - "))
-    if KINDS[kind] == "phone":
-        return F.array(F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", ""))
-    return F.expr("cast(array() as array<string>)")
+        return F.array(*(F.regexp_replace(_digits(m), "(.{4})(?=.)", way) for way in ("$1.", "$1 - ", "$1/")))
+    bare, zeros = F.regexp_replace(m, r"^\+", ""), F.regexp_replace(m, r"^\+", "00")
+    own = F.regexp_replace(m, r"^\+[0-9]{1,3}[\x20.-]*", "")
+    digits = _digits(own)
+    trunk = F.regexp_replace(digits, r"^(.{2,3})(.*)$", "0$1 $2")
+    return F.array(bare, zeros, own, trunk, F.regexp_replace(trunk, " ", "/"), F.regexp_replace(trunk, r"^(\S+) ", "($1) "), F.regexp_replace(digits, r"^(.{3})(.{3})(.+)$", "$1-$2-$3"))
 
 
-def _rewritten(found: DataFrame) -> DataFrame:
-    """held, s and is_ columns of the candidates in base spans (held, base) that are written in other ways."""
-    def ways_of(kind: int) -> Callable[[Column], Column]:
-        return lambda b: F.struct(F.lit(kind).alias("kind"), b["before"].alias("before"), b["after"].alias("after"), _disguised(kind, b["m"]).alias("ways"))
+def _of_no_kind(kind: int, m: Column) -> Column:
+    """What stands in a span's place and is none: an address without its domain; numbers too large for an address; a card whose check digit is
+    wrong; a date, a number of three, two and four digits and a version, of a phone number's digits."""
+    if KINDS[kind] == "email":
+        return F.array(F.regexp_replace(m, r"@([A-Za-z0-9-]+).*$", "@$1"), F.regexp_replace(m, r"@([A-Za-z0-9-]+).*$", " @ $1"))
+    if KINDS[kind] == "ip":
+        return F.array(F.regexp_replace(m, "^[0-9]+", "345"), F.regexp_replace(F.regexp_replace(m, "^[0-9]+", "345"), r"\.", "[.]"))
+    digits = _digits(m)
+    if KINDS[kind] == "card":
+        wrong = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((F.right(digits, F.lit(1)).cast("int") + 1) % 10).cast("string"))
+        return F.array(wrong, *(F.regexp_replace(wrong, "(.{4})(?=.)", way) for way in ("$1 ", "$1.")))
+    last = F.right(F.concat(F.lit("000000000"), digits), F.lit(9))
+    ways = {r"^..(..)(..).(.)(.)$": "20$1-0$3-1$4", "^(.)(.)(.)(.)(..)...$": "1$1/0$2/20$5", "^(...)(..)(....)$": "$1-$2-$3", "^..(.)(..)(....)$": "$1.$2.$3", "^(..)(..)(....).$": "2021$1$2 $3"}
+    return F.array(*(F.regexp_replace(last, pattern, way) for pattern, way in ways.items()))
+
 
+def _rewritten(found: DataFrame) -> DataFrame:
+    """fold, s, is_ columns and none of the candidates in base spans (fold, base) that are written in other ways, or have something of
+    no kind in their place. Each stands once in the text around the span, and once, unless it is digits alone, without that."""
+    ways_of = lambda kind: lambda b: F.struct(F.lit(kind).alias("kind"), b["before"].alias("before"), b["after"].alias("after"), _disguised(kind, b["m"]).alias("ways"), _of_no_kind(kind, b["m"]).alias("others"))
     each = F.concat(*(F.transform(f"base.{k}", ways_of(i)) for i, k in enumerate(KINDS)))
-    ways = found.select("held", F.explode(each).alias("b")).select("held", "b.kind", "b.before", "b.after", F.explode("b.ways").alias("m"))
+    ways = found.select("fold", F.explode(each).alias("b"))
+    way = lambda none: lambda m: F.struct(F.lit(none).alias("none"), m.alias("m"))
+    said = F.concat(F.transform("b.ways", way(0)), F.transform("b.others", way(1)))
+    ways = ways.select("fold", "b.kind", "b.before", "b.after", F.explode(said).alias("w")).select("fold", "kind", "before", "after", "w.none", "w.m")
+    bare = ways.filter(~F.col("m").rlike("^[0-9]*$")).withColumn("before", F.lit(" ")).withColumn("after", F.lit(" "))
+    ways = ways.unionByName(bare)
     spans = ways.withColumn("s", F.explode(wide_spans(F.concat("before", "m", "after")))).filter((F.col("s.start") < F.length("before") + F.length("m")) & (F.length("before") < F.col("s.end")))
-    return spans.select("held", "s", *((F.col("kind") == i).cast("int").alias(f"is_{k}") for i, k in enumerate(KINDS)))
+    # the text before a span may run into it: what begins there is no writing of the span
+    spans = spans.filter(F.col("s.start") >= F.length("before"))
+    return spans.select("fold", "s", *(((F.col("kind") == i) & (F.col("none") == 0)).cast("int").alias(f"is_{k}") for i, k in enumerate(KINDS)), "none")
 
 
 def learn(df: DataFrame, precision: float = 0.95, text: str = "text") -> dict[str, Trees]:
     """By kind, trees that tell the spans of that kind, and the threshold at which `precision` of what they choose is.
 
     Spans of a kind are what a base span of the kind overlaps. Each base span is also written in other ways, which the
-    base does not know, in the text around it, and the generators run over that. Candidates that are known
-    to be harmless, or are base spans of another kind, are none. Any other candidate may be either: it takes no part,
-    so the number of such candidates does not bound what is chosen. The threshold is that of a fifth of the documents
-    that the trees are not fitted on. Candidates come to the driver as counts of equal feature vectors.
+    base does not know, and the generators run over that. Of no kind are candidates that are known
+    to be harmless, those that are base spans of another kind, and things of no kind written in a base span's place. Any other candidate may be either: it takes no part,
+    so the number of such candidates does not bound what is chosen. For the threshold, each of FOLDS parts of the documents
+    is judged by trees fitted on the other parts, and all these scores count together, so no few documents decide; it lies in the middle between the
+    least score that is chosen and the next one. A kind that has no such threshold is logged and has no trees. Candidates come to the driver as counts of equal feature vectors.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    held_out = F.pmod(F.xxhash64(t), F.lit(5)) == 0
-    found = df.select(held_out.cast("int").alias("held"), F.struct(*(c.alias(k) for k, c in base_spans(t).items())).alias("base"), wide_spans(t).alias("wide")).filter(F.size("wide") > 0)
+    fold = F.pmod(F.xxhash64(t), F.lit(FOLDS)).cast("int")
+    found = df.select(fold.alias("fold"), F.struct(*(c.alias(k) for k, c in base_spans(t).items())).alias("base"), wide_spans(t).alias("wide")).filter(F.size("wide") > 0)
     names, is_ = list(FEATURES), [f"is_{k}" for k in KINDS]
     kinds = [F.exists(F.col(f"base.{k}"), lambda b: _overlaps(b, F.col("s"))).cast("int").alias(f"is_{k}") for k in KINDS]
-    spans = found.select("held", "base", F.explode("wide").alias("s")).select("held", "s", *kinds).unionByName(_rewritten(found))
-    each = spans.select("held", "s", *is_, *(c.alias(k) for k, c in _feature_values(F.col("s")).items()))
+    spans = found.select("fold", "base", F.explode("wide").alias("s")).select("fold", "s", *kinds, F.lit(0).alias("none")).unionByName(_rewritten(found))
+    each = spans.select("fold", "s", "none", *is_, *(c.alias(k) for k, c in _feature_values(F.col("s")).items()))
     each = each.withColumn("harmless", _harmless(F.col("s"), {k: F.col(k) for k in names}).cast("int"))
-    known = each.filter(F.greatest("harmless", *is_) > 0)
-    counts = known.groupBy("held", *names, *is_).agg(F.count("*").alias("n")).collect()
-    if not counts:
-        return {}
+    known = each.filter(F.greatest("harmless", "none", *is_) > 0)
+    counts = known.groupBy("fold", *names, *is_).agg(F.count("*").alias("n")).collect()
     counts.sort(key=lambda r: tuple(r))
-    rows = np.array([[r[x] for x in names] for r in counts], np.int64)
-    n = np.array([r["n"] for r in counts], float)
-    held = np.array([r["held"] for r in counts]) > 0
+    rows = np.array([[r[x] for x in names] for r in counts], np.int64).reshape(len(counts), len(names))
+    n, part = np.array([r["n"] for r in counts], float), np.array([r["fold"] for r in counts])
     out = {}
     for kind in KINDS:
         is_kind = np.array([r[f"is_{kind}"] for r in counts], float)
-        if not is_kind.any() or is_kind.all():
+        least = _calibrated(rows, is_kind, n, part, names, precision) if is_kind.any() and not is_kind.all() else None
+        if least is None:
+            logging.getLogger(__name__).warning("no %s is added: %s", kind, "no threshold is precise enough" if is_kind.any() else "the documents have none to learn from")
             continue
-        x, y, w, test, fit = rows, is_kind, n, held, ~held
-        if min(y[fit].sum(), (1 - y[fit]).sum(), y[test].sum()) == 0:  # too few documents to hold any out
-            fit = test = np.ones(len(y), bool)
-        trees, _ = boost(x[fit], y[fit], w[fit], names)
-        score, y, w = np.array([_walked(trees, r, names) for r in x[test]]), y[test], w[test]
-        order = np.argsort(-score, kind="stable")
-        right = np.cumsum((w * y)[order]) / np.cumsum(w[order])
-        last = np.append(score[order][1:] < score[order][:-1], True)  # thresholds lie between different scores
-        good = np.flatnonzero((right >= precision) & last)
-        if len(good):
-            out[kind] = Trees(trees, max(float(score[order][good[-1]]), 0.0))
+        out[kind] = Trees(boost(rows, is_kind, n, names)[0], least)
     return out
 
 
+def _calibrated(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, part: np.ndarray, names: list[str], precision: float) -> float | None:
+    """The least threshold at which that share of what is chosen has the label, or None. A part is scored by trees of the
+    others, or, where these have one label alone, of all."""
+    score = np.zeros(len(rows))
+    for fold in np.unique(part):
+        test = part == fold
+        fit = ~test if len(np.unique(label[~test])) == 2 else np.ones(len(rows), bool)
+        trees, _ = boost(rows[fit], label[fit], weight[fit], names)
+        score[test] = [_walked(trees, r, names) for r in rows[test]]
+    order = np.argsort(-score, kind="stable")
+    right = np.cumsum((weight * label)[order]) / np.cumsum(weight[order])
+    ranked = np.append(score[order], score.min() - 1)
+    good = np.flatnonzero((right >= precision) & (ranked[1:] < ranked[:-1]))  # thresholds lie between different scores
+    return max(float(ranked[good[-1]] + ranked[good[-1] + 1]) / 2, 0.0) if len(good) else None
+
+
 def _walked(trees: tuple, row: np.ndarray, names: list[str]) -> float:
     """The score of one row, added up in the order of Trees.score."""
     total = 0.0
