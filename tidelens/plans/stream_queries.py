@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,8 @@ _SESSIONS = "bounds as (select epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi
 
 @query(f"{with_views(POS, _SESSIONS)} select min(ts) as started_at, max(ts) as last_message_at, case when session = 0 then max(ts) end as ended_at, count(*) as messages from told where session is not null group by session")
 def coverage_ledger(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger of two runs with nobody listening between: the first has two flushes and is closed, the second is open."""
+    """The ledger of two runs with nobody listening between: the first has two flushes and is closed, the second repeats
+    one of these, as after a failure, and is open."""
     from tidelens.sources.folders import shared_folder
 
     lines = _position_lines(spark, d)
@@ -86,10 +88,46 @@ def coverage_ledger(spark: SparkSession, d: str) -> DataFrame:
     low, high = lines.agg(F.min(t), F.max(t)).first()
     third = (high - low) // 3
     first, second = lines.filter(t <= low + third), lines.filter(t >= high - third)
-    sink = collector.Collector(spark, f"{shared_folder(spark)}/collector-{uuid.uuid4().hex}")
+    sink = collector.Collector(spark, f"{shared_folder(spark)}/collector-{uuid.uuid4().hex}", idle_seconds=None)
     for number in range(2):
         sink.flush(first.filter(F.col("seq") % 2 == number), number)
     sink.close(first.agg(F.max("arrived")).first()[0])
+    sink = collector.Collector(spark, sink.folder, idle_seconds=None)
+    sink.flush(first.filter(F.col("seq") % 2 == 1), 1)
     sink.flush(second, 2)
     times = (F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "last_message_at", "ended_at"))
     return sink.coverage().select(*times, "messages")
+
+
+_SILENCES = "numbered as (select ts, sum(case when epoch_us(ts) - before > 120000000 then 1 else 0 end) over (order by ts rows unbounded preceding) as k from (select ts, lag(epoch_us(ts)) over (order by ts) as before from pos) as a)"
+
+
+@query(f"{with_views(POS, _SILENCES)} select min(ts) as started_at, max(ts) as last_message_at, max(ts) + interval 120 seconds as ended_at, count(*) as messages from numbered group by k")
+def coverage_idle(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger of one run that is closed long after its last message: 120 seconds of silence end each of its rows."""
+    from tidelens.sources.folders import shared_folder
+
+    lines = _position_lines(spark, d)
+    first, last = lines.agg(F.min("arrived"), F.max("arrived")).first()
+    sink = collector.Collector(spark, f"{shared_folder(spark)}/collector-{uuid.uuid4().hex}")
+    sink.open(first)
+    for number in range(2):
+        sink.flush(lines.filter(F.col("seq") % 2 == number), number)
+    sink.close(last + timedelta(days=9))
+    times = (F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "last_message_at", "ended_at"))
+    return sink.coverage().select(*times, "messages")
+
+
+@query(f"{with_views(POS, _GOOD)} select 1 as sessions, (select count(*) from pos) + (select count(*) from events where event_id % 10 = 5) as messages, (select count(*) from (select distinct mmsi, date_trunc('minute', ts) from good)) as rows_written, true as running, greatest((select max(ts) from pos), (select max(ts) from events where event_id % 10 = 5)) as last_message_at")
+def collector_status(spark: SparkSession, d: str) -> DataFrame:
+    """What the collector tells of itself after a stream of four flushes: lines that came, and rows that were written."""
+    from tidelens.sources.folders import shared_folder
+
+    folder = f"{shared_folder(spark)}/collector-{uuid.uuid4().hex}"
+    lines = _position_lines(spark, d).unionByName(_static_lines(spark, d))
+    lines.repartitionByRange(4, "arrived").write.parquet(f"{folder}/in")
+    raw = spark.readStream.schema("seq bigint, arrived timestamp, value string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    sink = collector.Collector(spark, f"{folder}/out", late="400 days")
+    sink.start(raw, f"{folder}/checkpoint", every=None).awaitTermination()
+    told = sink.status()
+    return told.agg(F.count("*").cast("int").alias("sessions"), F.sum("messages").alias("messages"), F.sum("rows_written").alias("rows_written"), F.bool_and("running").alias("running"), F.max("last_message_at").cast("timestamp_ntz").alias("last_message_at"))

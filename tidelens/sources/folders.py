@@ -27,6 +27,42 @@ def delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what a folder holds, in order; none if it is not there."""
+    files, there = _file_system(spark, folder)
+    return sorted(x.getPath().getName() for x in files.listStatus(there)) if files.exists(there) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file, which appears whole or not at all."""
+    files, there = _file_system(spark, path)
+    _, part = _file_system(spark, f"{there.getParent()}/_{uuid.uuid4().hex}")
+    out = files.create(part)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(there):
+        files.delete(there, False)
+    if not files.rename(part, there):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if it is not there."""
+    files, there = _file_system(spark, path)
+    if not files.exists(there):
+        return None
+    found = files.open(there)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(found)).decode()
+    finally:
+        found.close()
+
+
 class Scratch:
     """Tables of a computation in a folder of their own below the shared one: a step's rows are written once and read
     from there, so that a lost executor costs no rerun and no plan grows with the number of steps."""
