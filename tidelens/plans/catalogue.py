@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelens.plans import archive_queries, display_queries, match_queries, scene_queries, stream_queries  # noqa: F401
+from tidelens.plans import archive_queries, display_queries, match_queries, scene_queries, source_queries, stream_queries  # noqa: F401
 from tidelens.plans.registry import QUERIES, SQL, Query
 
 
