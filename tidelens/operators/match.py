@@ -34,53 +34,75 @@ def require_instants(detections: DataFrame) -> DataFrame:
     return detections
 
 
-#: Sizes of the cells of the candidate join, in degrees.
-LAT_CELL, LON_CELL = 0.5, 1.0
+#: Cells of the candidate join that are split at most; there cannot be more than rows / hot_rows of them anyway.
+HOT_CELLS = 1000
+_CELL = ("when_cell", "lat_cell", "lon_cell")
 
 
-def _cell(x: Column, size: float) -> Column:
+def _cell(x: Column, size: Column | float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def _cells(low: Column, high: Column, size: float, limit: float) -> Column:
-    """The cells that a range meets; beyond the limits of the globe there are none worth a row."""
-    return F.explode(F.sequence(_cell(F.greatest(low, F.lit(-limit)), size), _cell(F.least(high, F.lit(limit)), size)))
+def _lon_size(lat_cell: Column, height: float, radius_km: float) -> Column:
+    """How wide the cells of a band of latitude are, in degrees: as wide as a box is at the band's edge that is nearer to a pole."""
+    edge = F.greatest(F.abs(lat_cell * height), F.abs((lat_cell + 1) * height))
+    return F.least(2 * half_width(F.least(edge, F.lit(90.0)), radius_km), F.lit(360.0))
 
 
-def candidate_reports(detections: DataFrame, positions: DataFrame, p: Params = Params()) -> DataFrame:
+def _hot(reports: DataFrame, hot_rows: int) -> DataFrame:
+    """The cells with more than hot_rows reports, and into how many parts they are split."""
+    counts = reports.groupBy(*_CELL).agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows)
+    return counts.orderBy(F.desc("n")).limit(HOT_CELLS).select(*_CELL, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+
+
+def candidate_reports(detections: DataFrame, positions: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (), hot_rows: int | None = 100_000) -> DataFrame:
     """Every report near a detection: closed window in time, closed box, and the circle unless p.circle is false.
 
-    detections: detection_id, ts, lat, lon. positions: mmsi, ts, lat, lon. Both sides meet on equal cells of time and
-    place, so the join is hashed and shuffled by cell and grows with the pairs that are near: a detection is repeated
-    for the few cells its window and box meet, a report has one cell, so no pair comes twice. Reports without a time
-    or place are left out.
+    detections: detection_id, ts, lat, lon. positions: mmsi, ts, lat, lon, and the columns of carry, which the result has
+    too. Both sides meet on equal cells of time and place, so the join is hashed and shuffled by cell and grows with the
+    pairs that are near. Cells are as long as the window and as large as the box, so a detection is repeated for at most
+    three of time and four of place; a report has one cell, so no pair comes twice. A cell with more than hot_rows reports, as of
+    a busy port, is split: its reports are dealt to parts, and its detections repeated for each; hot_rows None leaves
+    that to adaptive execution, which goes by bytes alone, and saves counting cells. Reports without a time or place are left out.
     """
     w = int(p.window_minutes * 60_000_000)
     up, across = half_height(p.radius_km), half_width(F.col("d_lat"), p.radius_km)
+    height = 2 * up
     d = detections.select("detection_id", F.unix_micros("ts").alias("d_t"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
     d = d.filter("d_t is not null and d_lat is not null and d_lon is not null")
     d = d.select("*", F.explode(F.sequence(F.floor((F.col("d_t") - w) / w), F.floor((F.col("d_t") + w) / w))).alias("when_cell"))
-    d = d.select("*", _cells(F.col("d_lat") - up, F.col("d_lat") + up, LAT_CELL, 91).alias("lat_cell"))
-    d = d.select("*", _cells(F.col("d_lon") - across, F.col("d_lon") + across, LON_CELL, 181).alias("lon_cell"))
-    r = positions.select("mmsi", F.unix_micros("ts").alias("t"), "lat", "lon").filter("t is not null and lat is not null and lon is not null")
-    r = r.select("*", F.floor(F.col("t") / w).alias("when_cell"), _cell(F.col("lat"), LAT_CELL).alias("lat_cell"), _cell(F.col("lon"), LON_CELL).alias("lon_cell"))
+    # beyond the limits of the globe there are no cells worth a row
+    d = d.select("*", F.explode(F.sequence(_cell(F.greatest(F.col("d_lat") - up, F.lit(-91.0)), height), _cell(F.least(F.col("d_lat") + up, F.lit(91.0)), height))).alias("lat_cell"))
+    wide = _lon_size(F.col("lat_cell"), height, p.radius_km)
+    d = d.select("*", F.explode(F.sequence(_cell(F.greatest(F.col("d_lon") - across, F.lit(-181.0)), wide), _cell(F.least(F.col("d_lon") + across, F.lit(181.0)), wide))).alias("lon_cell"))
+    r = positions.select("mmsi", F.unix_micros("ts").alias("t"), "lat", "lon", *carry).filter("t is not null and lat is not null and lon is not null")
+    r = r.select("*", F.floor(F.col("t") / w).alias("when_cell"), _cell(F.col("lat"), height).alias("lat_cell"))
+    r = r.withColumn("lon_cell", _cell(F.col("lon"), _lon_size(F.col("lat_cell"), height, p.radius_km)))
+    key = list(_CELL)
+    if hot_rows is not None:
+        hot = F.broadcast(_hot(r, hot_rows))  # HOT_CELLS rows at most
+        parts = F.coalesce("parts", F.lit(1))
+        d = d.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        r = r.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64("mmsi", "t"), parts).cast("int")).drop("parts")
+        key.append("part")
     near = F.col("t").between(F.col("d_t") - w, F.col("d_t") + w) & F.col("lat").between(F.col("d_lat") - up, F.col("d_lat") + up) & F.col("lon").between(F.col("d_lon") - across, F.col("d_lon") + across)
     if p.circle:
         near = near & (haversine_km(F.col("d_lat"), F.col("d_lon"), F.col("lat"), F.col("lon")) <= p.radius_km)
-    return d.join(r, ["when_cell", "lat_cell", "lon_cell"]).filter(near).select("detection_id", "d_t", "d_lat", "d_lon", "mmsi", "t", "lat", "lon")
+    return d.join(r, key).filter(near).select("detection_id", "d_t", "d_lat", "d_lon", "mmsi", "t", "lat", "lon", *carry)
 
 
-def tracks(reports: DataFrame) -> DataFrame:
+def tracks(reports: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each detection and vessel: before, the last report up to the detection's time; after, the first from then on;
-    nearest, the one nearest in time, the earlier of two. Reports of one vessel at one time are taken by place."""
-    at = F.struct("t", "lat", "lon")
+    nearest, the one nearest in time, the earlier of two. Reports of one vessel at one time are taken by place, and then
+    by the columns of carry, which the three have too."""
+    at = F.struct("t", "lat", "lon", *carry)
     return reports.groupBy("detection_id", "mmsi").agg(
         F.first("d_t").alias("d_t"),
         F.first("d_lat").alias("d_lat"),
         F.first("d_lon").alias("d_lon"),
         F.max(F.when(F.col("t") <= F.col("d_t"), at)).alias("before"),
         F.min(F.when(F.col("t") >= F.col("d_t"), at)).alias("after"),
-        F.min(F.struct(F.abs(F.col("t") - F.col("d_t")).alias("apart"), "t", "lat", "lon")).alias("nearest"),
+        F.min(F.struct(F.abs(F.col("t") - F.col("d_t")).alias("apart"), "t", "lat", "lon", *carry)).alias("nearest"),
         F.count("*").alias("n_reports"),
     )
 
@@ -141,6 +163,23 @@ def match_detections(detections: DataFrame, positions: DataFrame, covered: DataF
     return joined.select("detection_id", status.alias("status"), F.coalesce("covered", F.lit(False)).alias("had_coverage"), best.alias("best"), F.coalesce("candidates", F.array().cast("array<struct<distance_km: double, mmsi: bigint, gap_s: double, lat: double, lon: double>>")).alias("candidates"))
 
 
+def match_best(detections: DataFrame, positions: DataFrame, covered: DataFrame | None = None, p: Params = Params()) -> DataFrame:
+    """As match_detections(), with the best candidate alone: nothing is listed or sorted on the way."""
+    detections = require_instants(detections)
+    covered = covered_by_reports(detections, positions, p.slack_minutes) if covered is None else covered
+    found = candidates(candidate_reports(detections, positions, p), p)
+    best = found.groupBy("detection_id").agg(F.min(F.struct("distance_km", "mmsi", "gap_s", "lat", "lon")).alias("best"))
+    joined = detections.select("detection_id").join(best, "detection_id", "left").join(covered.withColumn("covered", F.lit(True)), "detection_id", "left")
+    status = F.when(F.col("best.distance_km") <= p.match_km, MATCHED).when(F.col("covered"), DARK).otherwise(UNKNOWN)
+    return joined.select("detection_id", status.alias("status"), F.coalesce("covered", F.lit(False)).alias("had_coverage"), "best")
+
+
+def matched_ids(detections: DataFrame, positions: DataFrame, p: Params = Params()) -> DataFrame:
+    """detection_ids that match: some vessel was within p.match_km. Coverage has no part in that."""
+    found = candidates(candidate_reports(require_instants(detections), positions, p), p)
+    return found.filter(F.col("distance_km") <= p.match_km).select("detection_id").distinct()
+
+
 def keep_set(matches: DataFrame) -> DataFrame:
     """Ids of detections that the map shows as dark: all that are not matched, covered or not."""
     return matches.filter(F.col("status") != MATCHED).select("detection_id")

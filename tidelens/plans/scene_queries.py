@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidelens.functions import text
 from tidelens.operators import match, scenes
 from tidelens.plans.adapter import CANDIDATES, DET, POS, detections, near, positions, with_views
-from tidelens.plans.match_queries import match_status
 from tidelens.plans.registry import query
 
 
@@ -90,13 +89,14 @@ _VESSELS = f"""{_SHIPS.replace(with_views(POS, DET), _STATUS)},
 
 
 def _shown(spark: SparkSession, d: str) -> DataFrame:
-    """The ships of the detector's reports, with what the matching of their detections says."""
+    """The ships of the detector's reports, with what the matching of their detections says: dark is what matches no vessel."""
     normal = _normal(spark, d).filter("name like 'S1C%'")
     ids = detections(spark, d).withColumn("name", F.concat(F.lit("S1C_IW_GRDH_1SDV_"), F.date_format("ts", "yyyyMMdd"), F.lit("T041322_X")))
     from pyspark.sql.window import Window
 
     ship = F.row_number().over(Window.partitionBy("name").orderBy("detection_id"))
-    keep = ids.select("detection_id", text.match_id(F.col("name"), ship).alias("key")).join(match.keep_set(match_status(spark, d)), "detection_id")
+    known = match.matched_ids(detections(spark, d), positions(spark, d))
+    keep = ids.select("detection_id", text.match_id(F.col("name"), ship).alias("key")).join(known, "detection_id", "left_anti")
     return scenes.vessels(normal, keep.select(F.col("key").alias("detection_id")))
 
 
