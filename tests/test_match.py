@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.geo import haversine_km
 from tidelens.operators import match
+from tidelens.plans.source_queries import DRIVER, database_of
+from tidelens.sources import sources
 
 T0 = datetime(2026, 8, 1, 12)
 DET = "detection_id string, ts timestamp, lat double, lon double"
@@ -131,3 +134,43 @@ def test_cells_find_what_a_nested_loop_finds(spark, reports, lat):
     inside = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")) <= 5
     want = sorted((r.detection_id, r.mmsi, r.t) for r in pairs.filter(apart & inside).select("detection_id", "mmsi", F.unix_micros("pt").alias("t")).collect())
     assert got == want
+
+
+def test_a_crowded_cell_is_split(spark):
+    """Most reports in one place and hour: the same pairs, whatever the parts, and no part with much more than its share."""
+    rng = random.Random(2)
+    base = 1_785_542_400
+    rows = [(i, base + rng.randint(0, 1100), 42.0 + rng.random() / 50, 27.0 + rng.random() / 50) for i in range(4000)] + [(10_000 + i, base + rng.randint(0, 9000), 42.0 + rng.random() * 3, 27.0 + rng.random() * 3) for i in range(400)]
+    reports = spark.createDataFrame(rows, "mmsi long, t long, lat double, lon double").selectExpr("mmsi", "timestamp_seconds(t) as ts", "lat", "lon")
+    det = spark.createDataFrame([(f"d{i}", base + 120 * i, 42.0 + (i % 7) / 300, 27.0 + (i % 5) / 300) for i in range(60)], "detection_id string, t long, lat double, lon double").selectExpr("detection_id", "timestamp_seconds(t) as ts", "lat", "lon")
+    pairs = lambda hot: sorted((r.detection_id, r.mmsi, r.t) for r in match.candidate_reports(det, reports, hot_rows=hot).collect())
+    want = pairs(None)
+    assert want and pairs(100) == want == pairs(5000)
+    plain = det.alias("d").crossJoin(reports.alias("r")).filter("abs(unix_micros(d.ts) - unix_micros(r.ts)) <= 1200000000").filter(haversine_km(F.col("d.lat"), F.col("d.lon"), F.col("r.lat"), F.col("r.lon")) <= 5)
+    assert sorted((r.detection_id, r.mmsi) for r in plain.select("d.detection_id", "r.mmsi").collect()) == [x[:2] for x in want]
+
+
+def test_cells_near_a_pole_and_the_date_line(spark):
+    base = "2026-08-01 12:00:00"
+    det = spark.createDataFrame([("n", 89.99, 10.0), ("s", -89.97, -170.0), ("e", 10.0, 179.99), ("w", 10.0, -179.99), ("band", 45.0, 27.0)], "detection_id string, lat double, lon double").selectExpr("detection_id", f"timestamp'{base}' as ts", "lat", "lon")
+    reports = spark.createDataFrame([(i, lat, lon) for i, (lat, lon) in enumerate([(89.99, 15.0), (89.98, 10.1), (-89.96, -168.0), (10.01, 179.98), (10.0, -179.98), (44.96, 27.0), (45.04, 27.01), (45.0, 27.06), (45.0, 26.94)])], "mmsi long, lat double, lon double").selectExpr("mmsi", f"timestamp'{base}' as ts", "lat", "lon")
+    got = sorted((r.detection_id, r.mmsi) for r in match.candidate_reports(det, reports).collect())
+    plain = det.alias("d").crossJoin(reports.alias("r")).filter(haversine_km(F.col("d.lat"), F.col("d.lon"), F.col("r.lat"), F.col("r.lon")) <= 5).filter("abs(d.lon - r.lon) < 180")
+    assert got == sorted((r.detection_id, r.mmsi) for r in plain.select("d.detection_id", "r.mmsi").collect()) and len(got) == 9
+
+
+def test_database_is_asked_for_spans(spark):
+    """What the database is asked for, and that matching with it gives what matching with the whole table gives."""
+    base = 1_785_542_400
+    reports = spark.range(3000).selectExpr("id % 20 as mmsi", f"timestamp_seconds({base} + id * 60) as ts", "42.0D + (id % 7) * 0.01D as lat", "27.0D + (id % 11) * 0.01D as lon")
+    det = spark.createDataFrame([("a", base + 600, 42.0, 27.0), ("b", base + 90_000, 42.05, 27.05), ("c", base + 90_300, 60.0, 10.0)], "detection_id string, t long, lat double, lon double").selectExpr("detection_id", "timestamp_seconds(t) as ts", "lat", "lon")
+    url, driver = database_of(reports), DRIVER
+    asked = sources.near_predicates(det, parts=10)
+    assert 2 <= len(asked) <= 4 and all("ts >= {ts '2026-0" in x and "lat >= " in x for x in asked)
+    found = sources.from_jdbc_near(spark, url, det, parts=10, driver=driver)
+    assert found.rdd.getNumPartitions() == len(asked) and 0 < found.count() < 400
+    pairs = lambda rows: sorted((r.detection_id, r.mmsi, r.t) for r in match.candidate_reports(det, rows).collect())
+    assert pairs(found) == pairs(reports) != []
+    assert sources.from_jdbc_near(spark, url, det.limit(0), driver=driver).count() == 0
+    plan = sources.from_jdbc(spark, url, driver=driver).filter("lat > 42.05")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThan(LAT,42.05)" in plan.replace("lat", "LAT")
