@@ -201,7 +201,7 @@ class Trees:
         return total
 
 
-def boost(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 30, depth: int = 4, rate: float = 0.4, decay: float = 0.1) -> tuple[tuple, np.ndarray]:
+def boost(rows: np.ndarray, label: np.ndarray, weight: np.ndarray, names: list[str], rounds: int = 12, depth: int = 3, rate: float = 0.6, decay: float = 0.3) -> tuple[tuple, np.ndarray]:
     """Gradient boosting for the logistic loss with second-order leaf values, on weighted rows of small whole numbers;
     also the rows' scores."""
     total = float(weight.sum())
