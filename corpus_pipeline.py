@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,24 @@ from tidelens.llm import language, neardup, packing, private, quality, queries
 from tidelens.llm.common import crc32_of_id
 from tidelens.sources.folders import Scratch
 
+#: Rows of an Arrow batch. The executor and its Python workers hold some batches at once, next to what workers keep from
+#: one stage to the next, and texts may be long.
+BATCH_ROWS = 1000
 #: Documents whose best language has a smaller cosine are in none of the learned ones.
 LEAST_LANGUAGE = 0.1
 
 
+def _in_small_batches(stage):
+    """The stage, with smaller Arrow batches in its session from then on."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], str]:
     """The rows with columns by number, which clash with no name that an operator adds; these names; that of the text."""
     names = tuple(f"c{i}" for i in range(len(docs.columns)))
@@ -23,6 +39,7 @@ def _named(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
+@_in_small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter (null, empty and blank texts among them), or whose letters are those of no
     learned language. Where no language can be learned, nothing is known against a document, and all stay. Repeated rows
@@ -35,6 +52,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _named(found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)), docs)
 
 
+@_in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the line field's classifier gives label 0. Null and empty texts have the score of a text
     without lines, by which they stay or go; repeated rows share their fate; further columns of any name stay as they are."""
@@ -43,6 +61,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _named(found.filter(F.col("score") >= queries.LEAST_QUALITY), docs)
 
 
+@_in_small_batches
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id: five-word shingles, similarity 0.8.
 
@@ -56,12 +75,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
+@_in_small_batches
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its personal data replaced; n_chars follows the text. A null text stays null, and so does its
     n_chars; repeated rows and further columns stay as they are."""
     return private.redact(docs, private.learn(docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, cut into sequences. A null or empty text has the end's id alone; repeated rows are
     packed each; further columns are left out."""
