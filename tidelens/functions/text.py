@@ -174,5 +174,8 @@ def is_json(text: Column) -> Column:
 
 
 def url_component(name: Column) -> Column:
-    """A name percent-encoded as a part of a URL's path; a space becomes %20."""
-    return F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    """A name percent-encoded as a part of a URL's path: all but letters, digits and - . _ ~ (the form encoding differs in spaces, * and ~)."""
+    form = F.url_encode(name)
+    for was, now in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        form = F.replace(form, F.lit(was), F.lit(now))
+    return form

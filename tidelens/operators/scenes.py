@@ -88,6 +88,13 @@ def overlays(normal: DataFrame) -> DataFrame:
     return normal.select("name", F.coalesce(quad(F.col("r.overview_bounds_lonlat")), footprint()).alias("corners"), quad(F.col("r.swath_lonlat")).alias("swath"), timings().alias("timings"), F.col("r.detections").isNotNull().alias("has_sar"))
 
 
+def with_sar(normal: DataFrame, overviews: DataFrame) -> DataFrame:
+    """name and has_sar of each scene: whether a detector's report says so, or an overview image (column name of overviews,
+    with its extension) that holds anything lies ready."""
+    ready = overviews.filter("bytes > 0").select(F.regexp_replace("name", r"\.[^.]+$", "").alias("name"), F.lit(True).alias("ready")).distinct()
+    return normal.select("name", F.col("r.detections").isNotNull().alias("reported")).join(ready, "name", "left").select("name", (F.col("reported") | F.coalesce("ready", F.lit(False))).alias("has_sar"))
+
+
 def positioned_ships(normal: DataFrame) -> DataFrame:
     """One row for each ship with a place: name, ship (its id, or else its place among the ships shown), s, detection_id,
     acquired. Matching and display use the same id."""

@@ -85,3 +85,51 @@ def square_to_quad(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id, floor(value * 100 + 0.5) as percent, floor(0.5 - value) as below from events")
 def half_up_rounding(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", text.half_up(F.col("value") * 100).cast("double").alias("percent"), text.half_up(-F.col("value")).cast("double").alias("below"))
+
+
+def _at(lat: str, lon: str, bearing: str, metres: str, name: str) -> str:
+    """SQL of a destination as two columns of a name."""
+    return _to(lat, lon, bearing, metres).replace("as to_lat", f"as {name}_lat").replace("as to_lon", f"as {name}_lon")
+
+
+@query(f"""with {_POINTS}, arrows as (select event_id, lat, lon, heading, greatest(900, 4 * case when hull = 0 then 150 else hull end) as long, event_id % 3 = 0 as dashed from points where event_id % 4 <> 0),
+tips as (select *, {_to('lat', 'lon', 'heading', 'long')} from arrows),
+ends as (select event_id, dashed, {_at('to_lat', 'to_lon', 'heading + 150', 'long * 0.28', 'right')}, {_at('to_lat', 'to_lon', 'heading - 150', 'long * 0.28', 'left')}, {_at('lat', 'lon', 'heading + 180', 'long * 0.55', 'back')} from tips)
+select event_id, round(right_lat, 7) as right_lat, round(right_lon, 7) as right_lon, round(left_lat, 7) as left_lat, round(left_lon, 7) as left_lon, case when dashed then round(back_lat, 7) end as back_lat, case when dashed then round(back_lon, 7) end as back_lon from ends""")
+def heading_arrow_barbs(spark: SparkSession, d: str) -> DataFrame:
+    """The rest of an arrow: its barbs, and the line back of an unsure heading; every fourth ship has no heading, and no arrow."""
+    sure = F.when(F.col("event_id") % 3 == 0, 0.1).when(F.col("event_id") % 3 == 1, 0.15)
+    heading = F.when(F.col("event_id") % 4 != 0, F.col("heading"))
+    rows = _points(spark, d).withColumn("a", geo.heading_arrow(F.col("lat"), F.col("lon"), heading, sure, F.col("hull"))).filter("a is not null")
+    return rows.select("event_id", *(F.round(f"a.{end}.{axis}", 7).alias(f"{end}_{axis}") for end in ("right", "left", "back") for axis in ("lat", "lon")))
+
+
+_WHEN = "strftime(ts, '%-d %b %Y, %H:%M') || ' UTC'"
+_STAMPED = "'S1B_EW_GRDM_1SDH_' || strftime(ts, '%Y%m%dT%H%M%S') || '_'"
+
+
+def _stamped(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("S1B_EW_GRDM_1SDH_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("_"))
+    return _points(spark, d).join(events(spark, d).select("event_id", "ts"), "event_id").withColumn("name", F.when(F.col("event_id") % 3 == 0, "odd name.tif").otherwise(name))
+
+
+def _corners(some: str = "true"):
+    lat, lon = F.col("lat"), F.col("lon")
+    return F.when(F.expr(some), F.array(F.array(lat - 0.1, lon), F.array(lat + 0.1, lon)))
+
+
+@query(f"with {_POINTS} select event_id, case when event_id % 5 <> 0 then coalesce(case {_REGION} end, {_SIDES}) || ' — ' else '' end || case when event_id % 3 = 0 then 'label' else {_WHEN} end as shown from points join events using (event_id)")
+def scene_display_name_stamped(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes with and without a stamp in their name, with and without corners."""
+    return _stamped(spark, d).select("event_id", text.scene_display_name(F.col("name"), F.lit("label"), _corners("event_id % 5 <> 0")).alias("shown"))
+
+
+@query(f"with {_POINTS} select event_id, case when event_id % 5 <> 0 then coalesce(case {_REGION} end, {_SIDES}) || ' — ' || case when event_id % 3 = 0 then 'odd name.tif' else {_WHEN} end when event_id % 3 = 0 then 'odd name.tif' else 'Sentinel-1B — ' || {_WHEN} end as shown from points join events using (event_id)")
+def image_display_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Images by place and time, or by mission where they have no corners."""
+    return _stamped(spark, d).select("event_id", text.image_display_label(F.col("name"), _corners("event_id % 5 <> 0")).alias("shown"))
+
+
+@query("select event_id, url_encode(event_type || ' é/+?' || event_id || '&~*x') as part from events")
+def url_components(spark: SparkSession, d: str) -> DataFrame:
+    return events(spark, d).select("event_id", text.url_component(F.concat("event_type", F.lit(" é/+?"), F.col("event_id").cast("string"), F.lit("&~*x"))).alias("part"))

@@ -179,3 +179,43 @@ def safe_names(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     name = F.concat("event_type", F.when(F.col("event_id") % 4 == 0, " /").otherwise(""))
     return e.select("event_id", name.alias("name"), text.safe_name(name).alias("safe"))
+
+
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """name, content and n: reports of either dialect. The detector's have a swath where n % 2 is 0 and bounds where n % 3 is
+    not; the older ones' ships have no id, and each second ship has no place."""
+    from tidelens.plans.adapter import events
+
+    n = F.col("event_id")
+    x, y = (n % 30).cast("double"), (30 + n % 15).cast("double")
+    quad = lambda by: F.array(*(F.array(x + by * a, y + by * b) for a, b in ((0, 1), (1, 1), (1, 0), (0, 0))))
+    new = F.to_json(F.struct(F.lit("2026-08-07T04:13:22Z").alias("acquisition_time"), quad(1).alias("footprint_lonlat"), F.when(n % 3 != 0, quad(2)).alias("overview_bounds_lonlat"), F.when(n % 2 == 0, quad(3)).alias("swath_lonlat"), F.from_json(F.lit("[]"), "array<struct<confidence: double>>").alias("detections")))
+    ship = lambda k: F.struct(F.when(F.lit(k % 2 == 0), y + k).alias("latitude"), (x + k).alias("longitude"), F.lit(0.5).alias("conf"))
+    old = F.to_json(F.struct(F.struct(F.lit("x").alias("scene"), F.lit("2024-03-11 04:17:00").alias("acquired")).alias("meta"), F.array(*map(ship, range(5))).alias("ships")))
+    rows = events(spark, d).filter("event_id % 5 = 0")
+    return rows.select(n.alias("n"), F.concat(F.lit("scene_"), n.cast("string")).alias("name"), F.when(n % 10 == 0, new).otherwise(old).alias("content"))
+
+
+def _normal_reports(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.normalize(scenes.parse_reports(_reports(spark, d).select("name", "content")))
+
+
+@query("select 'scene_' || event_id as name, cast(30 + event_id % 15 + case when event_id % 3 <> 0 then 2 else 1 end as double) as first_lat, cast(case when event_id % 2 = 0 then event_id % 30 + 3 end as double) as swath_lon, 4 as n_corners from events where event_id % 10 = 0")
+def scene_overlay_swath(spark: SparkSession, d: str) -> DataFrame:
+    """Overlays with bounds of their own or else the footprint, and the swath where a report has one."""
+    rows = scenes.overlays(_normal_reports(spark, d)).filter("has_sar")
+    at = lambda quad, corner, k: F.element_at(F.element_at(quad, corner), k)
+    return rows.select("name", at("corners", 1, 1).alias("first_lat"), at("swath", 2, 2).alias("swath_lon"), F.size("corners").alias("n_corners"))
+
+
+@query("select 'scene_' || event_id || '-' || printf('%03d', k + 1) as id, 'Dark contact ' || printf('%02d', k + 1) as contact, cast(30 + event_id % 15 + 2 * k as double) as lat, cast(event_id % 30 + 2 * k as double) as lon from events, range(3) as r(k) where event_id % 10 = 5")
+def ships_without_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ships of older reports are numbered in the order in which they are shown; those without a place are not shown."""
+    return scenes.vessels(_normal_reports(spark, d), None).select("id", "contact", "lat", "lon")
+
+
+@query("select 'scene_' || event_id as name, event_id % 10 = 0 or event_id % 3 = 0 as has_sar from events where event_id % 5 = 0")
+def scene_has_sar(spark: SparkSession, d: str) -> DataFrame:
+    """By the report, or by an overview image that lies ready; one that is empty does not count."""
+    ready = _reports(spark, d).filter("n % 3 = 0 or n % 7 = 0").select(F.concat("name", F.lit(".png")).alias("name"), F.when(F.col("n") % 3 == 0, 100).otherwise(0).alias("bytes"))
+    return scenes.with_sar(_normal_reports(spark, d), ready)

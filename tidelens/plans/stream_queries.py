@@ -131,3 +131,16 @@ def collector_status(spark: SparkSession, d: str) -> DataFrame:
     sink.start(raw, f"{folder}/checkpoint", every=None).awaitTermination()
     told = sink.status()
     return told.agg(F.count("*").cast("int").alias("sessions"), F.sum("messages").alias("messages"), F.sum("rows_written").alias("rows_written"), F.bool_and("running").alias("running"), F.max("last_message_at").cast("timestamp_ntz").alias("last_message_at"))
+
+
+@query(f"{with_views(POS, _GOOD)} select mmsi, date_trunc('minute', ts) as ts from good group by 1, 2")
+def event_time_minutes(spark: SparkSession, d: str) -> DataFrame:
+    """Reports by the time that messages carry, one for each vessel and minute, through a stream."""
+    from tidelens.sources.folders import shared_folder
+
+    folder = f"{shared_folder(spark)}/event-time-{uuid.uuid4().hex}"
+    _position_lines(spark, d).select("value").write.parquet(f"{folder}/in")
+    stream = collector.event_time_positions(spark.readStream.schema("value string").parquet(f"{folder}/in"))
+    q = stream.select("mmsi", "ts").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    q.awaitTermination()
+    return spark.read.schema("mmsi bigint, ts timestamp").parquet(f"{folder}/out").select("mmsi", F.col("ts").cast("timestamp_ntz").alias("ts"))
