@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from tidelens.llm.common import byte_rows, map_slices
 from tidelens.sources.folders import Scratch
 
-#: Minwise tokens of a document. Each tree branches by TREE_TOKENS of its own.
+#: Minwise tokens of a document, and bytes of each. Each tree branches by TREE_TOKENS of its own. Documents that have
+#: nothing in common meet by chance where a token has as few values as there are documents.
 TOKENS = 256
+TOKEN_BYTES = 3
 TREE_TOKENS = 21
 #: Documents of one block of a node that stays large.
 BLOCK = 1536
@@ -136,8 +138,8 @@ def _profiles(part: pa.RecordBatch, words: int) -> pa.RecordBatch:
             continue
         prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
         least = minwise(found)
-        tokens.append((least & np.uint64(0xFFFF)).astype("<u2").tobytes())
-        sketches.append(np.packbits(((least >> np.uint64(20)) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist())
+        tokens.append(least.astype("<u8").view(np.uint8).reshape(TOKENS, 8)[:, :TOKEN_BYTES].tobytes())
+        sketches.append(np.packbits(((least >> np.uint64(26)) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist())
     arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(tokens, pa.binary())]
     arrays += [pa.array(list(x), pa.int64()) for x in zip(*sketches, strict=True)] if sketches else [pa.array([], pa.int64())] * len(_SKETCH)
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "print", "tokens", *_SKETCH])
@@ -164,7 +166,7 @@ def _children(at: DataFrame, extra_in_1000: int) -> DataFrame:
     node, t = F.col("node"), F.col("t")
     one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TREE_TOKENS)).cast("int")
     two = ((one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TREE_TOKENS - 1)).cast("int")) % TREE_TOKENS).cast("int")
-    child = lambda i: F.xxhash64(node, i, F.substring(t, 2 * i + 1, F.lit(2)))
+    child = lambda i: F.xxhash64(node, i, F.substring(t, TOKEN_BYTES * i + 1, F.lit(TOKEN_BYTES)))
     both = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra_in_1000
     return at.withColumn("node", F.explode(F.when(both, F.array(child(one), child(two))).otherwise(F.array(child(one)))))
 
@@ -192,7 +194,7 @@ def search(sets: DataFrame, full: Callable[[DataFrame], DataFrame], scratch: Scr
     components there. At other nodes the documents branch again, and what is still large after `levels` levels is
     compared in full as well, in blocks. Comparing is left to the end, when few nodes still have two components.
     """
-    forest = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(t).alias("node"), F.substring("tokens", 2 * TREE_TOKENS * t + 1, F.lit(2 * TREE_TOKENS)).alias("t")))
+    forest = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64(t).alias("node"), F.substring("tokens", TOKEN_BYTES * TREE_TOKENS * t + 1, F.lit(TOKEN_BYTES * TREE_TOKENS)).alias("t")))
     at = sets.select("rep", "size", *_SKETCH, F.explode(forest).alias("f")).select("rep", "size", *_SKETCH, "f.node", "f.t")
     roots, leaves, kept = None, [], []
     for depth in range(1, levels + 1):
