@@ -133,3 +133,12 @@ def image_display_labels(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_id, url_encode(event_type || ' é/+?' || event_id || '&~*x') as part from events")
 def url_components(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", text.url_component(F.concat("event_type", F.lit(" é/+?"), F.col("event_id").cast("string"), F.lit("&~*x"))).alias("part"))
+
+
+_SAID = "case event_id % 5 when 0 then props when 1 then '[[42.1, 27.2], null, \"é\"]' when 2 then '{\"open\": ' when 3 then '' else 'no json' end"
+
+
+@query(f"select event_id, json_valid({_SAID}) as valid from events")
+def json_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are JSON, and others."""
+    return events(spark, d).select("event_id", text.is_json(F.expr(_SAID)).alias("valid"))

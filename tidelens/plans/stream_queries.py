@@ -144,3 +144,20 @@ def event_time_minutes(spark: SparkSession, d: str) -> DataFrame:
     q = stream.select("mmsi", "ts").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
     q.awaitTermination()
     return spark.read.schema("mmsi bigint, ts timestamp").parquet(f"{folder}/out").select("mmsi", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+_HOSTS = "numbered as (select host, ts, sum(case when epoch_us(ts) - before >= 3600000000 then 1 else 0 end) over (partition by host order by ts rows unbounded preceding) as k from (select event_id % 2 as host, ts, lag(epoch_us(ts)) over (partition by event_id % 2 order by ts) as before from pos) as a)"
+
+
+@query(f"{with_views(POS, _HOSTS)} select 'host ' || host as host, min(ts) as started, max(ts) + interval 1 hour as ended, max(ts) as last_message_at, count(*) as messages from numbered group by host, k having max(ts) + interval 1 hour <= (select max(ts) from pos)")
+def coverage_sessions_live(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream of two hosts' messages tells of each hour-long silence: all sessions that are over by the last message."""
+    from tidelens.sources.folders import shared_folder
+
+    folder = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    _position_lines(spark, d).select(F.concat(F.lit("host "), (F.col("seq") % 2).cast("string")).alias("host"), "arrived").write.parquet(f"{folder}/in")
+    stream = collector.live_sessions(spark.readStream.schema("host string, arrived timestamp").parquet(f"{folder}/in"), 3600, late="0 seconds")
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    q.awaitTermination()
+    rows = spark.read.schema("host string, started timestamp, ended timestamp, last_message_at timestamp, messages long").parquet(f"{folder}/out")
+    return rows.select("host", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started", "ended", "last_message_at")), "messages")

@@ -91,6 +91,15 @@ def sessions_of(reports: DataFrame, gap_minutes: int = 60) -> DataFrame:
     return minutes.withColumn("session", fresh).withColumn("session", F.sum("session").over(order)).groupBy("session").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("messages").alias("messages")).drop("session")
 
 
+def live_sessions(rows: DataFrame, idle_seconds: float = IDLE_SECONDS, late: str = "10 seconds") -> DataFrame:
+    """host, started, ended and messages of each time of listening, out of a stream of messages (host, arrived), as soon as
+    it is over: idle_seconds of silence end it, and `late` later it is told of. One row for each host is kept as state, whatever
+    the number of messages. A message that comes just as the silence ends begins the next one."""
+    window = F.session_window("arrived", f"{idle_seconds} seconds")
+    told = rows.withWatermark("arrived", late).groupBy("host", window).agg(F.min("arrived").alias("started"), F.max("arrived").alias("last"), F.count("*").alias("messages"))
+    return told.select("host", "started", F.col("session_window.end").alias("ended"), F.col("last").alias("last_message_at"), "messages")
+
+
 def ledger_of(runs: DataFrame, sessions: DataFrame, idle_seconds: float | None) -> DataFrame:
     """The coverage ledger: one row for each time that somebody listened.
 
