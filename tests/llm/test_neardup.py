@@ -183,3 +183,24 @@ def test_large_group_of_near_copies(spark):
         rows.append(" ".join(copy))
     rows = list(enumerate(rows))
     assert roots_of(spark, rows) == {d: c for d, (_, c) in brute(rows, 2).items() if c != d}
+
+
+@pytest.mark.parametrize("shared", [0, 70])
+def test_recall_at_the_bar(spark, shared):
+    """Pairs of similarity 0.803, plain and on pages of one template that share 70 of 120 words: 0.99 are found, and no others."""
+    rng, rows = random.Random(9), []
+    template = [f"t{i}" for i in range(shared)]
+    for _ in range(600):
+        base = template + [f"v{rng.randrange(10**6)}" for _ in range(120 - shared)]
+        copy = list(base)
+        for i in [*rng.sample(range(shared // 2 + 1, 59), 6), 59.5]:  # six words inside take two shingles each, the last one takes one
+            copy[int(2 * i)] = f"u{rng.randrange(10**6)}"
+        rows += [" ".join(base), " ".join(copy)]
+    if shared:
+        rows += [" ".join(template + [f"w{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(1900)]
+    a, b = naive_sets(rows[0], 2), naive_sets(rows[1], 2)
+    assert 0.8 < len(a & b) / len(a | b) < 0.804
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 2)
+    root = {r.doc_id: r.component_id for r in found.collect()}
+    linked = sum(root[2 * k + 1] == 2 * k for k in range(600))
+    assert linked >= 594 and sum(d != c for d, c in root.items()) == linked
