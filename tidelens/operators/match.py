@@ -37,6 +37,8 @@ def require_instants(detections: DataFrame) -> DataFrame:
 #: Cells of the candidate join that are split at most; there cannot be more than rows / hot_rows of them anyway.
 HOT_CELLS = 1000
 _CELL = ("when_cell", "lat_cell", "lon_cell")
+#: How many boxes a cell is high and wide: of smaller cells a detection meets more, of larger ones it meets more reports in vain.
+CELL_BOXES = 4
 
 
 def _cell(x: Column, size: Column | float) -> Column:
@@ -44,9 +46,9 @@ def _cell(x: Column, size: Column | float) -> Column:
 
 
 def _lon_size(lat_cell: Column, height: float, radius_km: float) -> Column:
-    """How wide the cells of a band of latitude are, in degrees: as wide as a box is at the band's edge that is nearer to a pole."""
+    """How wide the cells of a band of latitude are, in degrees: some boxes as wide as these are at the band's edge nearer to a pole."""
     edge = F.greatest(F.abs(lat_cell * height), F.abs((lat_cell + 1) * height))
-    return F.least(2 * half_width(F.least(edge, F.lit(90.0)), radius_km), F.lit(360.0))
+    return F.least(CELL_BOXES * 2 * half_width(F.least(edge, F.lit(90.0)), radius_km), F.lit(360.0))
 
 
 def _hot(reports: DataFrame, hot_rows: int) -> DataFrame:
@@ -55,19 +57,19 @@ def _hot(reports: DataFrame, hot_rows: int) -> DataFrame:
     return counts.orderBy(F.desc("n")).limit(HOT_CELLS).select(*_CELL, F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
 
 
-def candidate_reports(detections: DataFrame, positions: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (), hot_rows: int | None = 100_000) -> DataFrame:
+def candidate_reports(detections: DataFrame, positions: DataFrame, p: Params = Params(), carry: tuple[str, ...] = (), hot_rows: int | None = None) -> DataFrame:
     """Every report near a detection: closed window in time, closed box, and the circle unless p.circle is false.
 
     detections: detection_id, ts, lat, lon. positions: mmsi, ts, lat, lon, and the columns of carry, which the result has
     too. Both sides meet on equal cells of time and place, so the join is hashed and shuffled by cell and grows with the
-    pairs that are near. Cells are as long as the window and as large as the box, so a detection is repeated for at most
-    three of time and four of place; a report has one cell, so no pair comes twice. A cell with more than hot_rows reports, as of
-    a busy port, is split: its reports are dealt to parts, and its detections repeated for each; hot_rows None leaves
-    that to adaptive execution, which goes by bytes alone, and saves counting cells. Reports without a time or place are left out.
+    pairs that are near. Cells are as long as the window and some boxes large, so a detection is repeated for
+    three of time and one to four of place; a report has one cell, so no pair comes twice. With hot_rows, a cell with more reports, as of
+    a busy port, is split: its reports are dealt to parts, and its detections repeated for each. That reads the reports
+    once more to count cells; without it, adaptive execution splits what is large in bytes. Reports without a time or place are left out.
     """
     w = int(p.window_minutes * 60_000_000)
     up, across = half_height(p.radius_km), half_width(F.col("d_lat"), p.radius_km)
-    height = 2 * up
+    height = CELL_BOXES * 2 * up
     d = detections.select("detection_id", F.unix_micros("ts").alias("d_t"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
     d = d.filter("d_t is not null and d_lat is not null and d_lon is not null")
     d = d.select("*", F.explode(F.sequence(F.floor((F.col("d_t") - w) / w), F.floor((F.col("d_t") + w) / w))).alias("when_cell"))
