@@ -236,7 +236,10 @@ def _compared(rows: DataFrame, full: Callable[[DataFrame], DataFrame], scratch:
 
     First only documents stay that the sketch lets pass with some other document of their node, then, of the nodes of a
     document, those where it is compared with such another: a pair is compared at one of its common nodes, which its ids
-    choose, so that the pairs of a group spread over the group's nodes. What is left is compared on whole sets; that takes place in the join's condition, so what comes out of it are links, not pairs.
+    choose, so that the pairs of a group spread over the group's nodes. What is left is compared on whole sets; that takes
+    place in the join's condition, so what comes out of it are links, not pairs. This join is an outer one, since adaptive
+    execution splits a crowded partition of such a join on the side of all documents alone; of an inner one it splits both,
+    and makes a task of each piece with each other. A block of the others, which is bounded, stays whole.
     """
     sizes = rows.groupBy("node", "root").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("others"), F.max_by("root", F.struct("n", "root")).alias("top"))
     tops = scratch.keep(sizes.filter("others > 0").select("node", "top", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")))
@@ -259,7 +262,8 @@ def _compared(rows: DataFrame, full: Callable[[DataFrame], DataFrame], scratch:
     others, here = both(*(side.join(at, "rep") for side in (others, here)), together)
     whole = scratch.keep(full(_small(at.select("rep"), scratch.rows(at))))
     a, b = (side.join(whole, "rep").alias(name) for side, name in ((others, "a"), (here, "b")))
-    return b.join(a, together & _alike("a", "b", percent)).select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
+    found = b.join(a, together & _alike("a", "b", percent), "left_outer")
+    return found.select(F.coalesce("a.root", "b.root").alias("a"), F.col("b.root").alias("b")).filter("a <> b")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
