@@ -174,3 +174,48 @@ def test_database_is_asked_for_spans(spark):
     assert sources.from_jdbc_near(spark, url, det.limit(0), driver=driver).count() == 0
     plan = sources.from_jdbc(spark, url, driver=driver).filter("lat > 42.05")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThan(LAT,42.05)" in plan.replace("lat", "LAT")
+
+
+def _crowd(spark, n=400, seed=3):
+    """Reports of which most vessels have one within reach of a cell and some have many, over a window's edges, at a band's edge, near a pole and the date line."""
+    rng = random.Random(seed)
+    base = 1_785_542_400
+    places = [(42.0, 27.0), (4 * 2 * 5 / 111.0, 10.0), (89.97, 100.0), (-10.0, 179.98)]
+    at = lambda i, spread: (base + rng.randint(0, 9000), places[i % 4][0] + rng.uniform(-spread, spread), places[i % 4][1] + rng.uniform(-spread, spread))
+    reports = [(i % 7 * 4 + i % 4 if i % 3 else 1000 + i, *at(i, 0.05)) for i in range(n)]
+    reports += [(5000 + i, t, lat, lon) for i, (_, t, lat, lon) in enumerate(reports[:40])]  # vessels equally far away
+    det = [(f"d{i}", *at(i, 0.03)) for i in range(n // 5)]
+    return (
+        spark.createDataFrame(det, "detection_id string, t long, lat double, lon double").selectExpr("detection_id", "timestamp_seconds(t) as ts", "lat", "lon"),
+        spark.createDataFrame(reports, "mmsi long, t long, lat double, lon double").selectExpr("mmsi", "timestamp_seconds(t) as ts", "lat", "lon", "mmsi * 3 as more"),
+    )
+
+
+@pytest.mark.parametrize("circle", [True, False])
+def test_meetings_without_a_shuffle_of_pairs_find_the_same(spark, circle):
+    det, reports = _crowd(spark)
+    p = match.Params(circle=circle)
+    columns = ["detection_id", "mmsi", "before", "after", "nearest", "n_reports"]
+    told = lambda rows, by=columns: sorted(map(repr, (tuple(r) for r in rows.select(*by).collect())))
+    want = match.tracks(match.candidate_reports(det, reports, p, carry=("more",)), carry=("more",))
+    got = match.tracks_near(det, reports, p, carry=("more",))
+    assert told(got) == told(want) and want.filter("n_reports > 1").count() > 20 and want.filter("n_reports = 1").count() > 20
+    columns = ["detection_id", "mmsi", "distance_km", "gap_s", "lat", "lon"]
+    found = match.candidates(match.tracks(match.candidate_reports(det, reports, p)), p)
+    assert told(match.candidates_near(det, reports, p), columns) == told(found, columns)
+    listed = {r.detection_id: r for r in match.match_detections(det, reports, p=p).collect()}
+    for r in match.match_best(det, reports, p=p).collect():
+        own = listed[r.detection_id]
+        assert (r.status, r.had_coverage, r.best, r.n_candidates) == (own.status, own.had_coverage, own.best, len(own.candidates))
+
+
+@pytest.mark.parametrize("name", ["match_status", "match_box_mode", "match_ledger_coverage", "dark_flags", "dark_totals", "keep_set", "status_breakdown", "scene_totals", "nearest_report", "asof_pair"])
+def test_pairs_are_not_shuffled(spark, name):
+    """Nothing is shuffled by detection and vessel, and what is by detection was brought down to a row for each before."""
+    import re
+
+    from tidelens.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(when_cell" in plan
+    assert not re.search(r"hashpartitioning\(detection_id#\d+L?, mmsi", plan)
