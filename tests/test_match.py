@@ -219,3 +219,23 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(when_cell" in plan
     assert not re.search(r"hashpartitioning\(detection_id#\d+L?, mmsi", plan)
+
+
+def test_candidates_are_ranked_where_they_are_found(spark):
+    """The same places whatever the parts of crowded cells, and no shuffle or list of pairs on the way."""
+    det, reports = _crowd(spark)
+    want = sorted((r.detection_id, c.mmsi, k + 1) for r in match.match_detections(det, reports).collect() for k, c in enumerate(r.candidates))
+    ranked = {most: match.ranked_candidates(det, reports, most_pairs=most) for most in (10**7, 20)}
+    for rows in ranked.values():
+        assert sorted((r.detection_id, r.mmsi, r.place) for r in rows.collect()) == want
+    assert sorted((r.detection_id, r.mmsi, r.place) for r in match.nearest_first_cap(ranked[20], 1).collect()) == [x for x in want if x[2] == 1]
+
+
+@pytest.mark.parametrize("name", ["match_candidates", "match_nearest_three"])
+def test_ranking_shuffles_no_pairs(spark, name):
+    import re
+
+    from tidelens.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(when_cell" in plan and not re.search(r"hashpartitioning\([^)]*detection_id", plan)
