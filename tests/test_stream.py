@@ -218,3 +218,20 @@ def test_sources(spark, tmp_path):
     (scenes / "t.png").write_bytes(b"")
     assert [(r.name, r.content) for r in sources.scene_files(spark, str(scenes)).collect()] == [("s", "{}")]
     assert [(r.name, r.bytes) for r in sources.overviews(spark, str(scenes / "*.png")).collect()] == [("s.png", 1)]
+
+
+def test_lines_of_a_flush_are_in_many_files(spark, monkeypatch):
+    """No task reads or writes a quarter of all lines: a flush has files enough."""
+    from tidelens.plans import catalogue
+
+    class Seen(Exception):
+        pass
+
+    def start(self, raw, checkpoint, **more):
+        raise Seen(self.folder)
+
+    monkeypatch.setattr(collector.Collector, "start", start)
+    with pytest.raises(Seen) as seen:
+        catalogue.queries()["collector_status"](spark, "/root/testdata/sf0.001")
+    folder = str(seen.value).removesuffix("/out") + "/in"
+    assert spark.read.parquet(folder).select("_metadata.file_path").distinct().count() > 64

@@ -118,6 +118,10 @@ def coverage_idle(spark: SparkSession, d: str) -> DataFrame:
     return sink.coverage().select(*times, "messages")
 
 
+#: Files, and so tasks at least, of a flush of collector_status.
+FLUSH_FILES = 32
+
+
 @query(f"{with_views(POS, _GOOD)} select 1 as sessions, (select count(*) from pos) + (select count(*) from events where event_id % 10 = 5) as messages, (select count(*) from (select distinct mmsi, date_trunc('minute', ts) from good)) as rows_written, true as running, greatest((select max(ts) from pos), (select max(ts) from events where event_id % 10 = 5)) as last_message_at")
 def collector_status(spark: SparkSession, d: str) -> DataFrame:
     """What the collector tells of itself after a stream of four flushes: lines that came, and rows that were written."""
@@ -125,8 +129,9 @@ def collector_status(spark: SparkSession, d: str) -> DataFrame:
 
     folder = f"{shared_folder(spark)}/collector-{uuid.uuid4().hex}"
     lines = _position_lines(spark, d).unionByName(_static_lines(spark, d))
-    lines.repartitionByRange(4, "arrived").write.parquet(f"{folder}/in")
-    raw = spark.readStream.schema("seq bigint, arrived timestamp, value string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    # four batches of many files each, so that no task has a quarter of all lines
+    lines.repartitionByRange(4 * FLUSH_FILES, "arrived").write.parquet(f"{folder}/in")
+    raw = spark.readStream.schema("seq bigint, arrived timestamp, value string").option("maxFilesPerTrigger", FLUSH_FILES).parquet(f"{folder}/in")
     sink = collector.Collector(spark, f"{folder}/out", late="400 days")
     sink.start(raw, f"{folder}/checkpoint", every=None).awaitTermination()
     told = sink.status()
