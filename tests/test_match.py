@@ -239,3 +239,47 @@ def test_ranking_shuffles_no_pairs(spark, name):
 
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(when_cell" in plan and not re.search(r"hashpartitioning\([^)]*detection_id", plan)
+
+
+@pytest.mark.parametrize("name", ["match_candidates", "match_nearest_three"])
+def test_pairs_are_rows_only_where_they_are_asked_for(spark, name):
+    """Detections meet reports within a cell's task, once: no join makes a row of each pair, and none is sorted."""
+    import re
+
+    from tidelens.plans import catalogue
+
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert len(re.findall("FlatMapGroupsInArrow", plan)) == 1 and "Window" not in plan and "SortMergeJoin [when_cell" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
+def test_places_are_told_of_ties_and_unknown_vessels(spark):
+    """Vessels at one place, mirrored ones, some without mmsi, and rounded places on which distances meet the circle's edge closely: as SQL orders them."""
+    import duckdb
+
+    rows = [(None if k % 11 == 0 else k % 37, 1_785_542_400 + 61 * (k % 53), 42.0 + 0.001 * (k % 61), 27.0 + 0.005 * (k % 19)) for k in range(900)]
+    det = [(k, 1_785_542_400 + 400 * k, 42.02 + 0.01 * (k % 3), 27.045) for k in range(8)]
+    reports = spark.createDataFrame(rows, "mmsi long, s long, lat double, lon double").selectExpr("mmsi", "timestamp_seconds(s) as ts", "lat", "lon")
+    found = spark.createDataFrame(det, "detection_id long, s long, lat double, lon double").selectExpr("detection_id", "timestamp_seconds(s) as ts", "lat", "lon")
+    for circle in (True, False):
+        p = match.Params(circle=circle)
+        listed = match.candidates(match.tracks(match.candidate_reports(found, reports, p)), p).toPandas()
+        want = duckdb.sql("select detection_id, mmsi, row_number() over (partition by detection_id order by distance_km, mmsi nulls first) as place from listed").fetchall()
+        got = [(r.detection_id, r.mmsi, r.place) for r in match.ranked_candidates(found, reports, p).collect()]
+        known = lambda x: sorted((d, -1 if m is None or m != m else int(m), k) for d, m, k in x)
+        assert known(got) == known(want) and len(got) > 100
+        best = {d: (m, k) for d, m, k in known(want) if k == 1 for m in [m]}
+        for r in match.match_best(found, reports, p=p).collect():
+            assert (r.best is None) == (r.detection_id not in best)
+            assert r.best is None or (-1 if r.best.mmsi is None else r.best.mmsi) == best[r.detection_id][0]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    from tidelens.functions.geo import rounded
+
+    rng = random.Random(4)
+    x = [520.2905, 0.0, -0.5, 0.0005, 2.5, 1.0005, -3.0000005, 42.123, 1e300] + [rng.randint(-(10**7), 10**7) / 2000 for _ in range(2000)] + [rng.uniform(-200, 200) for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", rounded(F.col("x"), 3).alias("three"), rounded(F.col("x"), 6).alias("six")).toPandas()
+    assert duckdb.sql("select count(*) from got where three <> round(x, 3) or six <> round(x, 6)").fetchall() == [(0,)]
