@@ -241,7 +241,7 @@ def test_ranking_shuffles_no_pairs(spark, name):
     assert "hashpartitioning(when_cell" in plan and not re.search(r"hashpartitioning\([^)]*detection_id", plan)
 
 
-@pytest.mark.parametrize("name", ["match_candidates", "match_nearest_three"])
+@pytest.mark.parametrize("name", ["match_candidates", "match_nearest_three", "asof_pair", "nearest_report"])
 def test_pairs_are_rows_only_where_they_are_asked_for(spark, name):
     """Detections meet reports within a cell's task, once: no join makes a row of each pair, and none is sorted."""
     import re
@@ -274,6 +274,23 @@ def test_places_are_told_of_ties_and_unknown_vessels(spark):
             assert r.best is None or (-1 if r.best.mmsi is None else r.best.mmsi) == best[r.detection_id][0]
 
 
+def test_reports_are_hardly_repeated(spark):
+    """Of reports in the middle of a cell of place, only those near a cell's end in time go to two."""
+    reports = spark.range(9000).selectExpr("id % 50 as mmsi", "timestamp_seconds(1785542400 + id * 96) as ts", "41.98D as lat", "27.9D as lon")
+    det = reports.filter("mmsi = 3").selectExpr("cast(ts as long) as detection_id", "ts", "lat", "lon")
+    rows = match._meetings(det, reports, match.Params()).count().agg(F.sum("count")).first()[0] - det.count()
+    assert 9000 <= rows < 9000 * 1.25
+
+
+def test_crowded_cells_are_split_by_time(spark, monkeypatch):
+    det, reports = _crowd(spark)
+    columns = ["detection_id", "mmsi", "before", "after", "nearest", "n_reports"]
+    told = lambda: sorted(map(repr, (tuple(r) for r in match.tracks_near(det, reports).select(*columns).collect())))
+    want = told()
+    monkeypatch.setattr(match, "CELL_REPORTS", 7)
+    assert match._meetings(det, reports, match.Params()).count().filter("part > 0").count() > 3 and told() == want != []
+
+
 def test_rounding_is_that_of_the_sql(spark):
     import duckdb
 
