@@ -241,7 +241,7 @@ def test_ranking_shuffles_no_pairs(spark, name):
     assert "hashpartitioning(when_cell" in plan and not re.search(r"hashpartitioning\([^)]*detection_id", plan)
 
 
-@pytest.mark.parametrize("name", ["match_candidates", "match_nearest_three", "asof_pair", "nearest_report"])
+@pytest.mark.parametrize("name", ["match_candidates", "match_nearest_three", "match_box_mode", "match_status", "asof_pair", "nearest_report"])
 def test_pairs_are_rows_only_where_they_are_asked_for(spark, name):
     """Detections meet reports within a cell's task, once: no join makes a row of each pair, and none is sorted."""
     import re
